@@ -7,59 +7,68 @@ document below all others; an empty table gives an empty result; extra columns a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import LOWER, SPACE, UPPER, lower_ascii
+from .runtime import LOWER, SPACE, UPPER, materialise
+
+_STRIP = SPACE.encode()
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+
 
+def line_key(line: bytes) -> bytes:
+    return line.strip(_STRIP).translate(_FOLD)
 
-def line_key(line: Column) -> Column:
-    return lower_ascii(F.btrim(line, F.lit(SPACE)))
 
+def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, t, pos, a, b): the 128-bit hash of each line of ``min_chars`` code points or more, and the hash t of its text.
 
-def line_hash(key: Column) -> Column:
-    """128 bits as 16 bytes in two longs: at 10^12 different lines a clash has odds near 10^-15."""
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(7)).alias("b"))
+    At 10^12 different lines a clash of 128 bits has odds near 10^-15."""
+
+    def explode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k in range(0, part.num_rows, 1000):
+                p = part.slice(k, 1000)
+                row, pos, a, b = [], [], [], []
+                for i, text in enumerate(p.column("text").cast(pa.binary()).to_pylist()):
+                    for j, line in enumerate((text or b"").split(b"\n")):
+                        key = line_key(line)
+                        if len(key) >= min_chars and (key.isascii() or len(key.decode("utf-8", "replace")) >= min_chars):
+                            h = xxhash.xxh3_128_intdigest(key)
+                            row.append(i)
+                            pos.append(j)
+                            a.append((h >> 64) - 2**63)
+                            b.append((h & (2**64 - 1)) - 2**63)
+                at = pa.array(row, pa.int64())
+                yield pa.record_batch([p.column("doc_id").take(at), p.column("t").take(at), pa.array(pos, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "t", "pos", "a", "b"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(explode, "doc_id long, t long, pos int, a long, b long")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept) for each row.
 
-    Only hashes of lines of ``min_chars`` or more are shuffled for the count, combined on the map side, so a line that a third
-    of all documents hold is one row a task. The lines to drop then travel back by document, where they meet the text.
-    """
-    d = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    lines = F.split(F.col("text"), "\n", -1)
-    long_keys = F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars)
-    own = (
-        d.select("doc_id", F.array_distinct(F.transform(long_keys, line_hash)).alias("h"))
-        .filter(F.size("h") > 0)
-        .select("doc_id", F.explode("h").alias("h"))
-        .select("doc_id", "h.a", "h.b")
-    )
-    # An equal doc_id in two rows is one document: ids are told apart before the count, where the hash meets one row a task.
-    known = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    seen = own.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.max(known).alias("keeper"), F.min(known).alias("least"),
-    ).filter((F.col("n") >= min_docs) & (F.col("keeper") != F.col("least")))
-    repeated_ids = d.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    twice = own.join(repeated_ids, own["doc_id"].eqNullSafe(repeated_ids["doc_id"]), "left_semi")
-    surplus = twice.groupBy("a", "b", "doc_id").agg((F.count(F.lit(1)) - 1).alias("more")).filter("more > 0").groupBy("a", "b").agg(F.sum("more").alias("more"))
-    seen = seen.join(surplus, ["a", "b"], "left").filter(F.col("n") - F.coalesce("more", F.lit(0)) >= min_docs).select("a", "b", "keeper")
+    Texts are read once for the hashes and once to be reassembled; between, only hashes move. Counts are combined on the map
+    side, so a line that a third of all documents hold is a row a task; the join back to such a line is one that adaptive
+    execution splits. The positions to drop meet their text by doc_id and text hash."""
+    lines = materialise(line_hashes(docs, min_chars), "lines").withColumn("known", F.coalesce("doc_id", F.lit(-(2**63))))
+    seen = lines.groupBy("a", "b", "known").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count("one").alias("n"), F.max("known").alias("keeper"))
     gone = (
-        own.join(seen, ["a", "b"])
-        .filter(F.coalesce(own["doc_id"], F.lit(-(2**63))) != F.col("keeper"))
-        .groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+        lines.join(seen.filter(F.col("n") >= min_docs).select("a", "b", "keeper"), ["a", "b"])
+        .filter("known <> keeper").groupBy("known", "t").agg(F.collect_set("pos").alias("gone"))
     )
-    joined = d.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
-    kept = F.filter(
-        lines,
-        lambda x: F.col("gone").isNull() | (F.length(line_key(x)) < min_chars) | ~F.array_contains(F.col("gone"), line_hash(line_key(x))),
+    d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("known"), F.xxhash64("text").alias("t"))
+    own = F.split("text", "\n", -1)
+    kept = F.array_join(F.filter(own, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    return d.join(gone, ["known", "t"], "left").select(
+        "doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.when(F.col("gone").isNotNull(), F.col("gone"))), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept"),
     )
-    return joined.select(
-        "doc_id", F.size(lines).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), lines).otherwise(kept).alias("kept_lines"),
-    ).select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept_lines")).alias("n_dropped"), F.array_join("kept_lines", "\n").alias("kept"))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

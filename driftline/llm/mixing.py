@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import WORD_RE, n_words
+from .runtime import WORD_RE, materialise, n_words
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -46,27 +46,28 @@ def unit_draw(doc_id: Column, seed: str = "mix") -> Column:
 
 
 def with_copies(docs: DataFrame, **rule) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target, mix_copies: how often the mix takes each row.
+    """docs, which must have mix_size, with mix_source_size, mix_target, mix_copies: how often the mix takes each row.
 
     Sources' sums are combined on the map side; the join back is by source against a table of one row a source, which Spark
     broadcasts only under its own size threshold and which adaptive skew handling splits otherwise.
     """
-    sized = docs.withColumn("mix_size", n_words(F.col("text")))
-    per = source_targets(sized.groupBy("source").agg(F.sum("mix_size").alias("source_size")), **rule)
+    per = source_targets(docs.groupBy("source").agg(F.sum("mix_size").alias("source_size")), **rule)
     per = per.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(unit_draw(F.col("doc_id")) < rate - F.floor(rate), 1).otherwise(0)
-    return sized.join(per, F.col("source").eqNullSafe(F.col("mix_source")), "left").withColumn("mix_copies", copies.cast("int")).drop("mix_source")
+    return docs.join(per, F.col("source").eqNullSafe(F.col("mix_source")), "left").withColumn("mix_copies", copies.cast("int")).drop("mix_source")
 
 
 def mixed(docs: DataFrame, **rule) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    out = with_copies(docs, **rule).filter("mix_copies > 0")
+    out = with_copies(docs.withColumn("mix_size", n_words(F.col("text"))), **rule).filter("mix_copies > 0")
     return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    out = with_copies(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # Sizes are counted once; what is joined and drawn has no texts.
+    out = with_copies(materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("mix_size")), "op9"))
     return out.select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
         (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
