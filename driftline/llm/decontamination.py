@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import packed
+
 WINDOW, SHORTEST, LITERAL = 12, 5, 5
 #: Windows of the benchmark up to this number are broadcast (24 bytes each and their slots); more are joined by shuffle.
 BROADCAST_WINDOWS = 200_000
@@ -104,8 +106,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFr
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold an item; a row without doc_id goes if any such row holds one."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
+    return packed(docs, "doc_id").join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

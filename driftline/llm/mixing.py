@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import WORD_RE, materialise, n_words
+from .runtime import WORD_RE, materialise, n_words, packed
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -60,8 +60,9 @@ def with_copies(docs: DataFrame, **rule) -> DataFrame:
 
 def mixed(docs: DataFrame, **rule) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    out = with_copies(docs.withColumn("mix_size", n_words(F.col("text"))), **rule).filter("mix_copies > 0")
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    rows = packed(docs, "doc_id", "source", n_words(F.col("text")).alias("mix_size"))
+    out = with_copies(rows, **rule).filter("mix_copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

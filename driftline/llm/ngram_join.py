@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import materialise, partitions
+from ..plans.graph import components as connected
+from .runtime import materialise, packed, partitions
 from .shingles import mix, shingle_sets
 
 K = 5
@@ -338,30 +339,6 @@ def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return p.mapInArrow(run, "a long, b long")
 
 
-def connected(edges: DataFrame, name: str) -> DataFrame:
-    """(node, label): the smallest node of each component, by alternating large and small stars.
-
-    Each round halves the distance to the smallest node; the table of stars is written and read again, so lineage stays short."""
-    now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-
-    def state() -> tuple:
-        r = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")).first()
-        return r["n"], r["x"]
-
-    mark = state()
-    while mark[0]:
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = materialise(large.join(low, "u").select(F.explode(ends).alias("e")).select("e.*").filter("u <> v").distinct(), name)
-        if (then := state()) == mark:
-            break
-        mark = then
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v")).distinct()
-
-
 def exact_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """True links among sets in size order, as a spanning forest."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -444,8 +421,8 @@ def components(docs: DataFrame) -> DataFrame:
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: the smallest doc_id. Of rows that share it, all stay."""
-    stay = components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    stay = components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
+    return packed(docs, "doc_id").join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi").select("row.*")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -1,57 +1,24 @@
-"""Shared folder, materialised tables and byte helpers of the corpus operators."""
+"""Words, packed rows and materialised tables of the corpus operators."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise, new_path, partitions, shared_dir
+
+__all__ = ["LOWER", "SPACE", "SPACE_RE", "UPPER", "WORD_RE", "materialise", "n_words", "new_path", "packed", "partitions", "shared_dir"]
+
 #: The separators of words and the characters stripped from lines: space and x09 to x0D.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where unset, one below the warehouse (local runs and tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_driftline_shared").rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
 
-def _forget() -> None:
-    """Best effort at the driver's end: intermediate tables go."""
-    for spark, path in _written:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM may have gone first
-            return
-
-
-atexit.register(_forget)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage with a Parquet table in the shared folder, which survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def lower_ascii(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+def packed(docs: DataFrame, *beside: Column | str) -> DataFrame:
+    """(row, ...): all columns of docs in one struct, so that no name can clash with those an operator adds."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *beside)
 
 
 def n_words(c: Column) -> Column:
@@ -61,7 +28,3 @@ def n_words(c: Column) -> Column:
     t = F.btrim(F.coalesce(c, F.lit("")), F.lit(SPACE))
     squeezed = F.regexp_replace(t, SPACE_RE, "\n")
     return F.when(t == "", F.lit(0)).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit("\n"), F.lit(""))) + 1).cast("long")
-
-
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -9,7 +9,8 @@ What decides is the count of rows in each arc, ``shards * virtual`` numbers howe
 ring runs on the driver over these counts alone, as ranges of ranks; a row then needs only its rank in its arc.
 
 Defined results: null and repeated doc_ids are spread by what else the row holds (its text), and equal rows are told apart by
-their rank; a null text has size 1; an empty table gives an empty result; extra columns are ignored or, in ``shard_rows``, kept.
+their rank; a null text has size 1; an empty table gives an empty result; extra columns are kept by ``shard_rows``
+(but for its own two, which are replaced).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import materialise, packed
 
 RING = 2**32
 CELLS = 4096  # the ring in equal cells, so that ranks are found in many small groups
@@ -86,7 +87,9 @@ def shard_rows(docs: DataFrame, shards: int = 8, virtual: int = 64, slack: float
     at = F.array(*[F.lit(x) for x in first])
     all_points = F.array(*[F.lit(p) for p in points])
     point = ring_point(F.col("doc_id"), F.col("text"))
-    placed = docs.withColumn("_point", point).withColumn("_cell", F.shiftright("_point", 20).cast("int"))
+    kept = docs.drop("shard_no", "shard_slot")
+    placed = packed(kept, F.col("doc_id").alias("_id"), F.crc32(F.col("text").cast("binary")).alias("_crc"), point.alias("_point"))
+    placed = placed.withColumn("_cell", F.shiftright("_point", 20).cast("int"))
     inside = F.size(F.filter(F.slice(all_points, F.element_at(at, F.col("_cell") + 1) + 1, F.element_at(F.array(*[F.lit(b - a) for a, b in zip(first, [*first[1:], len(points)])]), F.col("_cell") + 1)), lambda p: p < F.col("_point")))
     placed = placed.withColumn("_arc", F.pmod(F.element_at(at, F.col("_cell") + 1) + inside, F.lit(len(nodes))).cast("int"))
     # Any fixed order of the rows of an arc will do; this is ring order but for the arc that wraps around.
@@ -103,12 +106,12 @@ def shard_rows(docs: DataFrame, shards: int = 8, virtual: int = 64, slack: float
         runs.setdefault(arc, []).append((a, b, s, slot))
     table = spark.createDataFrame([(k, v) for k, v in runs.items()], "_arc int, _runs array<struct<a:long,b:long,s:int,slot:long>>")
     # At most CELLS + shards * virtual rows and as many runs: bounded whatever the input.
-    w = Window.partitionBy("_arc", "_cell").orderBy("_point", "doc_id", F.crc32(F.col("text")))
+    w = Window.partitionBy("_arc", "_cell").orderBy("_point", "_id", "_crc")
     ranked = placed.withColumn("_n", F.row_number().over(w)).join(F.broadcast(cells), ["_arc", "_cell"]).join(F.broadcast(table), "_arc")
     rank = F.col("_start") + F.col("_n") - 1
     run = F.filter("_runs", lambda r: (r["a"] <= rank) & (rank < r["b"]))[0]
     return ranked.withColumn("_run", run).select(
-        *[docs[c] for c in docs.columns], F.col("_run.s").alias("shard_no"), (F.col("_run.slot") + rank - F.col("_run.a")).alias("shard_slot"),
+        "row.*", F.col("_run.s").alias("shard_no"), (F.col("_run.slot") + rank - F.col("_run.a")).alias("shard_slot"),
     )
 
 
