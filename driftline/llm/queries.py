@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from ..plans.shipping import ship
 from . import decontamination, license_scan, line_dedup, media_avi, mixing, ngram_join, quality, sharding, substring_dedup, token_files
 
+
+def _shipped(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_token_files": token_files.op2_token_files,
@@ -16,4 +29,5 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
+QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 ORACLES = {"op3_decontamination": decontamination.SQL, "op9_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
