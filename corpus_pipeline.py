@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from driftline.llm import decontamination, mixing, ngram_join, quality, sharding
 from driftline.llm.runtime import materialise
+from driftline.plans.shipping import ship
 
 
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return ngram_join.without_near_copies(docs)
 
 
