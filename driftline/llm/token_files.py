@@ -29,14 +29,19 @@ END = 2
 _encoders: dict[str, "Encoder"] = {}
 
 
+class _Odd(Exception):
+    """Spaces stand together or at the end, so words cannot be told by single spaces."""
+
+
 class Encoder:
     """A byte-level BPE of the tokenizers library, with a bounded memory of the words met.
 
     The pattern of byte-level BPE never joins what stands before ' x' (x not a space) with what follows, and no id crosses a
     piece of the pattern, so ids are looked up by word, then by piece; only an unknown piece goes to the library's model.
+    A full memory becomes the old one, from which words that are met again come back.
     """
 
-    WORDS, PIECES = 300_000, 300_000
+    KEPT = 500_000
 
     def __init__(self, path: str) -> None:
         import regex
@@ -46,42 +51,52 @@ class Encoder:
         self.model = self.tokenizer.model
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 2**16 else np.uint32
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.odd = regex.compile(r" (?=\s|$)")
         self.before = regex.compile(r"(?= \S)")
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
         self.table = {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(hidden)}
         self.added = [t for t in (str(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) if t]
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # of words behind a space, without it
         self.pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def piece(self, p: str) -> bytes:
         found = self.pieces.get(p)
         if found is None:
-            shown = p.encode("utf-8").decode("latin-1").translate(self.table)
-            found = np.fromiter((t.id for t in self.model.tokenize(shown)), self.dtype).tobytes()
-            if len(self.pieces) >= self.PIECES:
-                self.pieces.clear()
+            found = self.old_pieces.get(p)
+            if found is None:
+                shown = p.encode("utf-8").decode("latin-1").translate(self.table)
+                found = np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
+            if len(self.pieces) >= self.KEPT:
+                self.old_pieces, self.pieces = self.pieces, {}
             self.pieces[p] = found
         return found
 
     def word(self, w: str) -> bytes:
-        found = b"".join(map(self.piece, self.pattern.findall(w)))
-        if len(self.words) >= self.WORDS:
-            self.words.clear()
+        found = self.old_words.get(w)
+        if found is None:
+            if not w or w[0].isspace():
+                raise _Odd
+            found = self.loose(" " + w)
+        if len(self.words) >= self.KEPT:
+            self.old_words, self.words = self.words, {}
         self.words[w] = found
         return found
 
+    def loose(self, text: str) -> bytes:
+        return b"".join(map(self.piece, self.pattern.findall(text)))
+
     def encode(self, text: str) -> bytes:
         if any(x in text for x in self.added):  # special tokens inside a text: as the library takes them
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if self.odd.search(text):
-            words = self.before.split(text)
-        else:
-            first, *rest = text.split(" ")
-            words = [first, *[" " + x for x in rest]]
+        first, *rest = text.split(" ")
         get = self.words.get
-        return b"".join([get(w) or self.word(w) for w in words if w])
+        try:
+            ids = [get(w) or self.word(w) for w in rest]
+        except _Odd:
+            return b"".join(map(self.loose, self.before.split(text)))
+        return self.loose(first) + b"".join(ids)
 
 
 def encoder(path: str) -> Encoder:
