@@ -38,7 +38,7 @@ from .shingles import mix, shingle_sets
 
 K = 5
 NUM, DEN = 80, 100  # links: DEN * intersection >= NUM * union
-COMMON_IN_BLOCK, COMMON_KEPT = 8, 1 << 17
+COMMON_IN_BLOCK, COMMON_KEPT = 4, 1 << 17
 BLOCK_SHINGLES = 1_500_000
 PAIRS_TO = 16
 TILE_MEMBERS = 8192
@@ -277,11 +277,15 @@ def forest(count: int, near) -> list[tuple[int, int]]:
     return out
 
 
-def _dealt(rows: DataFrame, group: str, weight: str, most: int, n_parts: int) -> DataFrame:
-    """rows with (gi, gj, unit): a group of more than ``most`` goes out as all pairs of blocks, each row to those of its block."""
+def _blocks_of(rows: DataFrame, group: str, weight: str, most: int) -> DataFrame:
+    """rows with (k, block): a group of more than ``most`` has k blocks, each row is of one of them."""
     total = rows.groupBy(group).agg(F.ceil(F.sum(weight) / most).cast("int").alias("k"))
-    r = rows.join(total, group).withColumn("block", F.pmod(F.xxhash64("h1"), F.col("k")).cast("int"))
-    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return rows.join(total, group).withColumn("block", F.pmod(F.xxhash64("h1"), F.col("k")).cast("int"))
+
+
+def _dealt(rows: DataFrame, group: str, n_parts: int) -> DataFrame:
+    """rows with (gi, gj, unit) for (k, block): a group of several blocks goes out as all pairs of them, each row to those of its own."""
+    r = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     r = r.withColumn("gi", F.least("block", "other")).withColumn("gj", F.greatest("block", "other"))
     r = r.filter((F.col("k") == 1) | (F.col("gi") != F.col("gj")))  # a pair of different blocks also tests each block itself
     return r.withColumn("unit", F.pmod(F.xxhash64(group, "gi", "gj"), F.lit(n_parts)).cast("int")).drop("k", "block", "other")
@@ -302,8 +306,8 @@ def _edges(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def tiles(members: DataFrame, n_parts: int) -> DataFrame:
-    """(a, b) from members (g, h1, n, bits)."""
+def tiles(members: DataFrame, classes: DataFrame, n_parts: int) -> DataFrame:
+    """(a, b) from members (g, h1), which fetch their bitmaps when they are dealt out."""
 
     def run(key, table):
         out = []
@@ -314,7 +318,9 @@ def tiles(members: DataFrame, n_parts: int) -> DataFrame:
             out.append((h[e[:, 0]], h[e[:, 1]]))
         return _edges(out)
 
-    return _dealt(members.withColumn("one", F.lit(1)), "g", "one", TILE_MEMBERS, n_parts).select("g", "gi", "gj", "unit", "h1", "n", "bits").groupBy("unit").applyInArrow(run, "a long, b long")
+    dealt = _dealt(_blocks_of(members.withColumn("one", F.lit(1)), "g", "one", TILE_MEMBERS), "g", n_parts)
+    work = dealt.select("g", "gi", "gj", "unit", "h1").join(classes.select("h1", "n", "bits"), "h1")
+    return work.groupBy("unit").applyInArrow(run, "a long, b long")
 
 
 def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -360,8 +366,10 @@ def exact_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def verify(docs: DataFrame, candidates: DataFrame, n_parts: int) -> DataFrame:
     """(a, b) true links, a spanning forest of each component, from candidates (rep, h1, h2, n, label)."""
-    dealt = _dealt(candidates, "label", "n", UNIT_SHINGLES, n_parts)
-    texts = docs.select("doc_id", "text").join(candidates.select("rep", "h1", "h2", "n"), F.col("doc_id").eqNullSafe(F.col("rep")))
+    # A merge join at every size: the candidates are a share of all documents, so they are never the side to broadcast.
+    own = _blocks_of(candidates, "label", "n", UNIT_SHINGLES).hint("merge")
+    texts = docs.select("doc_id", "text").join(own, F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
+    keep = ["label", "k", "block", "h1", "n"]
 
     def shingled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -370,12 +378,12 @@ def verify(docs: DataFrame, candidates: DataFrame, n_parts: int) -> DataFrame:
                 sets = shingle_sets(p.column("text").to_pylist(), K)
                 want = zip(p.column("h1").to_pylist(), p.column("h2").to_pylist())
                 same = [bool(len(s)) and tuple(x - 2**64 if x >= 2**63 else x for x in digest(s)) == w for s, w in zip(sets, want)]
-                own = p.filter(pa.array(same, pa.bool_()))
-                yield pa.record_batch([own.column("h1"), pa.array([s.tobytes() for s, ok in zip(sets, same) if ok], pa.binary())], names=["h1", "shingles"])
+                rows = p.filter(pa.array(same, pa.bool_()))
+                yield pa.record_batch([*[rows.column(c) for c in keep], pa.array([s.tobytes() for s, ok in zip(sets, same) if ok], pa.binary())], names=[*keep, "shingles"])
 
-    # A doc_id with several rows may bring its set twice.
-    sets = texts.mapInArrow(shingled, "h1 long, shingles binary")
-    work = dealt.select("label", "gi", "gj", "unit", "h1", "n").join(sets, "h1")
+    # Sets move once, to their unit. A doc_id with several rows may bring its set twice.
+    sets = texts.mapInArrow(shingled, "label long, k int, block int, h1 long, n long, shingles binary")
+    work = _dealt(sets, "label", n_parts)
 
     def run(key, table):
         out = []
@@ -402,8 +410,8 @@ def components(docs: DataFrame) -> DataFrame:
     )
     met = materialise(meet(signed.filter("part IS NOT NULL").select("part", "lead")), "met")
     pairs = met.filter("g IS NULL").select("a", "b").distinct()
-    members = met.filter("g IS NOT NULL").select("g", F.col("a").alias("h1")).join(classes.select("h1", "n", "bits"), "h1")
-    maybe = materialise(possible(pairs, classes).union(tiles(members, n_parts)), "possible")
+    members = met.filter("g IS NOT NULL").select("g", F.col("a").alias("h1"))
+    maybe = materialise(possible(pairs, classes).union(tiles(members, classes, n_parts)), "possible")
     loose = materialise(connected(maybe, "loose"), "loose-labels")
     candidates = materialise(classes.join(loose, F.col("h1") == F.col("node")).select("rep", "h1", "h2", "n", "label"), "candidates")
     links = materialise(verify(docs, candidates, n_parts), "links")
