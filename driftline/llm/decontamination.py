@@ -67,19 +67,20 @@ def pattern(values: Column) -> Column:
 
 
 def windows(rows: DataFrame, key: str, length: int, whole: bool = False) -> DataFrame:
-    """(key, pos, size, hash, values) of each window of ``length`` words; ``whole``: only where it is the whole text."""
-    words = F.split("slotted", " ")
-    count = F.size("words")
-    d = rows.select(key, words.alias("words"), F.split(template(F.col("slotted")), " ").alias("canon"), F.col("slotted").rlike(f"[{NAME}-{UNIT}]").alias("any"))
-    d = d.filter((count == length) if whole else (count >= length))
+    """(key, pos, size, hash, values) of each window of ``length`` words; ``whole``: only where it is the whole text; values is
+    null in a text without slots. Words are hashed once and windows from these hashes. Short texts give an empty list instead of
+    a filter, which would be pushed below the substitutions and repeat them."""
+    count = F.size("hashes")
+    d = rows.select(
+        key, F.split("slotted", " ").alias("words"), F.transform(F.split(template(F.col("slotted")), " "), lambda w: F.xxhash64(w)).alias("hashes"),
+        F.col("slotted").rlike(f"[{NAME}-{UNIT}]").alias("any"),
+    )
     made = F.transform(
-        F.sequence(F.lit(1), count - (length - 1)),
-        lambda i: F.struct(
-            i.alias("pos"), F.xxhash64(F.slice("canon", i, length)).alias("hash"),
-            F.when(F.col("any"), slots(F.slice("words", i, length))).otherwise(F.array().cast("array<string>")).alias("values"),
-        ),
+        F.when((count == length) if whole else (count >= length), F.sequence(F.lit(1), count - (length - 1))),
+        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("hashes", i, length)).alias("hash"), F.when(F.col("any"), slots(F.slice("words", i, length))).alias("values")),
     )
-    return d.select(key, F.explode(made).alias("w")).select(key, "w.pos", F.lit(length).alias("size"), "w.hash", "w.values").filter(F.lit(length) - F.size("values") >= min(LITERAL, length))
+    d = d.select(key, F.explode(made).alias("w")).select(key, "w.pos", F.lit(length).alias("size"), "w.hash", "w.values")
+    return d.filter(F.col("values").isNull() | (F.lit(length) - F.size("values") >= min(LITERAL, length)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
@@ -98,7 +99,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFr
     for k in short:
         found = found.unionByName(windows(texts, "doc_id", k))
     met = found.join(F.broadcast(known) if small else known, ["hash", "size"])
-    consistent = met.filter(pattern(F.col("values")) == pattern(F.col("item_values")))
+    none = F.array().cast("array<string>")
+    consistent = met.filter(pattern(F.coalesce("values", none)) == pattern(F.coalesce("item_values", none)))
     return consistent.groupBy("doc_id", "item_id").agg(
         F.countDistinct("pos").alias("n_windows"), F.min("pos").cast("long").alias("first_word"), (F.max(F.col("pos") + F.col("size")) - 1).cast("long").alias("last_word"),
     )
