@@ -56,7 +56,8 @@ def format_int(x: Column) -> Column:
 
 def format_double(d: Column, legacy: bool = False) -> Column:
     """FN-9: the shortest decimal; legacy: plain digits cut after eight characters."""
-    return F.substring(F.trim(F.format_number(d, "0.##########")), 1, 8) if legacy else d.cast("string")
+    plain = F.regexp_replace(d.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    return F.substring(plain, 1, 8) if legacy else d.cast("string")
 
 
 def round_half_down(d: Column) -> Column:

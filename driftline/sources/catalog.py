@@ -14,7 +14,7 @@ def djb2(text: Column) -> Column:
     """CAT-1: h = 33 h + code from 5381, modulo 2^64, as decimal(20,0)."""
     big = F.lit(_MOD).cast("decimal(38,0)")
     start = F.lit(5381).cast("decimal(38,0)")
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c))
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
     return F.aggregate(codes, start, lambda h, c: ((h * F.lit(33).cast("decimal(3,0)") + c.cast("decimal(10,0)")) % big).cast("decimal(38,0)")).cast("decimal(20,0)")
 
 
