@@ -75,23 +75,30 @@ def segment_cells(points: DataFrame, level: int, most: int = 10, walk: int = 409
     """TRJ-1/2: (tid, seq, k, cell, ts) of the cells along each trajectory; k = 0 is a point's own cell.
 
     Between two points in cells more than one apart, the cells of the curve from the smaller to the larger end (exclusive) whose
-    rectangle the segment meets follow, with times by the share of the way. Where the walk is over ``walk`` cells long or meets
-    ``most`` cells or more, only the own cell stands.
+    rectangle the segment meets follow, with times by the share of the way. Where there are over ``walk`` cells to look at, where
+    the segment meets ``most`` cells or more, or where its ends are on different faces, only the own cell stands.
     """
     w = along()
     d = points.select("tid", "seq", "ts", "lon", "lat", C.encode(F.col("lat"), F.col("lon"), level).alias("cell"))
     d = d.select("*", *[F.lead(c).over(w).alias(f"n_{c}") for c in ("ts", "lon", "lat", "cell")])
     own = d.select("tid", "seq", F.lit(0).cast("long").alias("k"), "cell", "ts")
-    step = 1 << (61 - 2 * level)
     low, high = F.least("cell", "n_cell"), F.greatest("cell", "n_cell")
     far = d.filter(F.col("n_cell").isNotNull() & (F.col("cell") != F.col("n_cell")))
-    far = far.withColumns({"a": C.ij(F.col("cell"), level), "b": C.ij(F.col("n_cell"), level)})
-    far = far.filter((F.col("a.face") != F.col("b.face")) | (F.abs(F.col("a.i") - F.col("b.i")) > 1) | (F.abs(F.col("a.j") - F.col("b.j")) > 1))
-    far = far.filter((high - low) / step <= walk)
-    met = far.withColumn("c", F.explode(F.sequence(low, high - 1, F.lit(step)))).filter(F.col("c") != F.col("cell"))
-    met = met.withColumn("r", C.rect_of(F.col("c"), level)).filter(segment_meets_rect(
-        F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat"), F.col("r.min_lon"), F.col("r.min_lat"), F.col("r.max_lon"), F.col("r.max_lat"),
+    # Candidates come from the rows and columns between both ends (one more on each side), not from the whole curve.
+    ends = F.array(F.struct(C.ij(F.col("cell"), level).alias("a"), C.ij(F.col("n_cell"), level).alias("b")))
+    span = lambda e, k: F.sequence(F.greatest(F.least(e["a"][k], e["b"][k]) - 1, F.lit(0)), F.least(F.greatest(e["a"][k], e["b"][k]) + 1, F.lit((1 << level) - 1)))
+    ranges = F.transform(ends, lambda e: F.struct(
+        e["a"]["face"].alias("face"), span(e, "i").alias("i"), span(e, "j").alias("j"),
+        ((e["a"]["face"] == e["b"]["face"]) & ((F.abs(e["a"]["i"] - e["b"]["i"]) > 1) | (F.abs(e["a"]["j"] - e["b"]["j"]) > 1))).alias("ok"),
     ))
+    far = far.withColumn("e", F.explode(ranges)).filter(F.col("e.ok") & (F.size("e.i").cast("long") * F.size("e.j") <= walk))
+    far = far.withColumn("i", F.explode("e.i")).withColumn("j", F.explode("e.j"))
+    met = far.withColumn("c", F.explode(F.array(C.from_face_ij(F.col("e.face"), F.col("i"), F.col("j"), level)))).drop("e")
+    met = met.filter((F.col("c") >= low) & (F.col("c") < high) & (F.col("c") != F.col("cell")))
+    # One expression, so that the rectangle is computed once where the filter is pushed to.
+    met = met.filter(C.let(C.rect_of(F.col("c"), level), lambda r: segment_meets_rect(
+        F.col("lon"), F.col("lat"), F.col("n_lon"), F.col("n_lat"), r["min_lon"], r["min_lat"], r["max_lon"], r["max_lat"],
+    )))
     met = met.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("seq"))).filter(F.col("n") < most)
     dx, dy = F.col("n_lon") - F.col("lon"), F.col("n_lat") - F.col("lat")
     met = met.withColumn("m", C.center(F.col("c"), level))

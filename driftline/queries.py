@@ -9,6 +9,7 @@ from . import model
 from .functions import bitmaps as B
 from .functions import cells as C
 from .functions import geometry as G
+from .functions import shapes
 from .functions import text as X
 from .model import CATALOG_SQL, POI_SQL, POINTS_SQL, djb2_sql
 from .operators import grid, index, pattern, selections, trajectories
@@ -365,6 +366,58 @@ def segment_cells(spark, d):
     return trajectories.segment_cells(model.points(spark, d), 8)
 
 
+# -- shapes --------------------------------------------------------------------------------------------------------------
+
+_LOOP = [(116.1, 39.6), (116.8, 39.7), (116.6, 40.3), (116.4, 39.9), (116.2, 40.4)]
+
+
+@query("rect_algebra", f"""
+WITH {P}, {_BB}, j AS (SELECT a.tid AS a, greatest(a.min_x, b.min_x) AS x0, least(a.max_x, b.max_x) AS x1, greatest(a.min_y, b.min_y) AS y0, least(a.max_y, b.max_y) AS y1,
+  least(a.min_x, b.min_x) AS u0, greatest(a.max_x, b.max_x) AS u1, (a.min_x <= b.min_x AND a.max_x >= b.max_x AND a.min_y <= b.min_y AND a.max_y >= b.max_y) AS holds,
+  greatest(abs(a.min_x - b.min_x), abs(a.max_x - b.max_x)) AS gap FROM b a JOIN b b ON b.tid = a.tid + 1)
+SELECT a, u0, u1, holds, round(gap, 6) AS gap, (x0 > x1 OR y0 > y1) AS empty,
+  round(CASE WHEN x0 > x1 OR y0 > y1 THEN 0 ELSE 6378137.0 * 6378137.0 * radians(x1 - x0) * (sin(radians(y1)) - sin(radians(y0))) END / 1e6, 3) AS km2 FROM j""")
+def rect_algebra(spark, d):
+    names = ("min_x", "min_y", "max_x", "max_y")
+    b = _boxes(spark, d)
+    c = b.select((F.col("tid") - 1).alias("a"), *[F.col(n).alias(f"o_{n}") for n in names])
+    j = b.join(c, F.col("tid") == F.col("a"))
+    me, other = ({n: F.col(p + n) for n in names} for p in ("", "o_"))
+    both, all_ = shapes.intersection(me, other), shapes.union(me, other)
+    return j.select(
+        "a", all_["min_x"].alias("u0"), all_["max_x"].alias("u1"), shapes.holds_rect(me, other).alias("holds"),
+        r6(shapes.interval_gap(me["min_x"], me["max_x"], other["min_x"], other["max_x"])).alias("gap"), shapes.is_empty(both).alias("empty"), F.round(shapes.area_m2(both) / 1e6, 3).alias("km2"),
+    )
+
+
+@query("polyline_length", f"""
+WITH {P}, s AS (SELECT tid, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM points WINDOW w AS (PARTITION BY tid ORDER BY ts, seq)),
+q AS (SELECT tid, power(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * power(sin(radians(lon2 - lon) / 2), 2) AS h FROM s)
+SELECT tid, round(coalesce(sum({_HAV}), 0), 1) AS metres FROM q GROUP BY tid""")
+def polyline_length(spark, d):
+    return shapes.lines(model.points(spark, d)).select("tid", F.round(shapes.length(F.col("line")), 1).alias("metres"))
+
+
+def _crossings_sql() -> str:
+    parts = []
+    for (x1, y1), (x2, y2) in zip(_LOOP, [*_LOOP[1:], _LOOP[0]]):
+        parts.append(f"CASE WHEN ({y1}::DOUBLE > lat) <> ({y2}::DOUBLE > lat) AND lon < ({x2}::DOUBLE - {x1}::DOUBLE) * (lat - {y1}::DOUBLE) / ({y2}::DOUBLE - {y1}::DOUBLE) + {x1}::DOUBLE THEN 1 ELSE 0 END")
+    return f"WITH {P} SELECT seq FROM points WHERE ({' + '.join(parts)}) % 2 = 1"
+
+
+@query("polygon_contains", _crossings_sql())
+def polygon_contains(spark, d):
+    return model.points(spark, d).filter(shapes.loop_holds(shapes.loop(_LOOP), F.col("lon"), F.col("lat"))).select("seq")
+
+
+@query("region_cover", f"WITH {P}, cp AS ({C.encode_sql(f'SELECT seq, tid, ts, lon, lat FROM points WHERE {_IN_BOX}', LEVEL)}) SELECT DISTINCT cell, true AS covered FROM cp")
+def region_cover(spark, d):
+    """GEO-8: each cell with a point of a region is in the region's covering."""
+    own = index.cell_points(selections.by_space(model.points(spark, d), *BOX), LEVEL).select("cell").distinct()
+    c = shapes.cover(spark, BOX[0], BOX[3], BOX[2], BOX[1], LEVEL).withColumn("covered", F.lit(True))
+    return own.join(c, "cell", "left").select("cell", F.coalesce("covered", F.lit(False)).alias("covered"))
+
+
 # -- visits, places, patterns --------------------------------------------------------------------------------------------
 
 _V = f"v AS (SELECT tid, cell, min(ts) AS first_ts FROM cp GROUP BY tid, cell)"

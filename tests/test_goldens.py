@@ -223,3 +223,28 @@ def test_log_stream(spark, tmp_path):
     q = visit_counts(read_log7_stream(spark, f"{tmp_path}/in"), 11).writeStream.outputMode("complete").format("memory").queryName("visits_stream").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.cell, r.n, r.n_tids) for r in spark.table("visits_stream").collect()] == [(3886701861054447616, 5, 5)]
+
+
+def test_polylines_and_polygons(spark):
+    from driftline.functions import shapes as S
+
+    line = S.loop([(116.0, 40.0), (116.0, 40.0), (116.5, 40.0), (117.0, 40.0)])
+    m, p, c, n = one(spark, S.interpolate(line, F.lit(0.5)), S.project(line, F.lit(116.7), F.lit(40.2)), S.centroid(line), S.length(line))
+    assert (m.x, m.y) == (pytest.approx(116.5), pytest.approx(40.0)) and (p.x, p.y, p.d) == (pytest.approx(116.7), 40.0, pytest.approx(0.2))
+    assert c.x == pytest.approx(116.375) and n == pytest.approx(85276, rel=1e-3)
+    ends = one(spark, S.interpolate(line, F.lit(0.0)), S.interpolate(line, F.lit(1.0)), S.interpolate(S.loop([(1, 2)]), F.lit(0.3)))
+    assert [e.x for e in ends] == [pytest.approx(116.0), pytest.approx(117.0), 1.0]
+    outer, hole = S.loop([(0, 0), (4, 0), (4, 4), (0, 4)]), S.loop([(1, 1), (1, 2), (2, 2), (2, 1)])
+    assert one(spark, S.loop_area(outer), S.loop_area(hole)) == [16.0, -1.0]
+    f = lambda x, y: S.polygon_holds([outer, hole], F.lit(float(x)), F.lit(float(y)))
+    assert one(spark, f(3, 3), f(1.5, 1.5), f(5, 1), f(0.5, 0.5)) == [True, False, False, True]
+
+
+def test_cell_union_is_normalised(spark):
+    from driftline.functions import shapes as S
+
+    top = 3886701861054447616
+    bit = (top & -top) // 4
+    kids = [top + d * bit for d in (-3, -1, 1, 3)]
+    c = spark.createDataFrame([(k,) for k in [*kids, kids[0] + bit // 4, 3769449391312601088, 3769449391312601088]], "cell long")
+    assert sorted(r.cell for r in S.normalised(c).collect()) == sorted([top, 3769449391312601088])
