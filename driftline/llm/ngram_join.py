@@ -41,6 +41,7 @@ NUM, DEN = 80, 100  # links: DEN * intersection >= NUM * union
 COMMON_IN_BLOCK, COMMON_KEPT = 4, 1 << 17
 BLOCK_SHINGLES = 1_500_000
 PAIRS_TO = 16
+SPREAD_FROM = 50_000
 TILE_MEMBERS = 8192
 UNIT_SHINGLES = 4_000_000
 
@@ -94,8 +95,9 @@ def band(n: np.ndarray) -> np.ndarray:
 BANDS_APART = int(np.ceil(np.log(DEN / NUM) / np.log(1.05))) + 1
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted by how common they are, up to COMMON_KEPT hashes: those in COMMON_IN_BLOCK different sets of one block or more."""
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by how common they are, up to COMMON_KEPT hashes: those in COMMON_IN_BLOCK different sets of one block or more; and
+    those of them that were met SPREAD_FROM times or more."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _blocks(parts):
@@ -107,8 +109,8 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
     found = docs.select("doc_id", "text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = found.orderBy(F.desc("n"), "h").limit(COMMON_KEPT).toArrow()
-    h = rows.column("h").to_numpy().view(np.uint64)
-    return h[::-1].copy()
+    h, n = rows.column("h").to_numpy().view(np.uint64)[::-1].copy(), rows.column("n").to_numpy()[::-1]
+    return h, h[n >= SPREAD_FROM]
 
 
 class Order:
@@ -142,8 +144,10 @@ class Order:
 SIGNED = "doc_id long, n long, h1 long, h2 long, bits binary, part int, lead binary"
 
 
-def signatures(docs: DataFrame, common: np.ndarray, n_parts: int) -> DataFrame:
-    """Rows of two kinds: a document's (doc_id, n, h1, h2, bits), and (part, lead): packed leading shingles of a block."""
+def signatures(docs: DataFrame, common: np.ndarray, spread: np.ndarray, n_parts: int) -> DataFrame:
+    """Rows of two kinds: a document's (doc_id, n, h1, h2, bits), and (part, lead): packed leading shingles of a block. Members of
+    the groups that are known to be very large (``spread``) don't gather in a partition: they are in part -1, as (g, h1)."""
+    far = np.sort(mix(spread))
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(common)
@@ -171,12 +175,19 @@ def signatures(docs: DataFrame, common: np.ndarray, n_parts: int) -> DataFrame:
             t, o = np.concatenate(lead), np.concatenate(owner)
             t = mix(t)
             part = (t >> np.uint64(32)).astype(np.int64) % n_parts
+            apart = np.isin(t, far) if len(far) else np.zeros(len(t), bool)
+            g = (part[apart] << 32) | (t[apart] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            straight = g.tobytes() + h1[o[apart]].tobytes()
+            t, o, part = t[~apart], o[~apart], part[~apart]
             by = np.argsort(part, kind="stable")
             t, o = (t[by] & np.uint64(0xFFFFFFFF)).astype(np.uint32), o[by]
             edge = np.searchsorted(part[by], np.arange(n_parts + 1))
             size = band(n)
             full = [k for k in range(n_parts) if edge[k + 1] > edge[k]]
             blobs = [t[edge[k] : edge[k + 1]].tobytes() + h1[o[edge[k] : edge[k + 1]]].tobytes() + size[o[edge[k] : edge[k + 1]]].tobytes() for k in full]
+            if straight:
+                full.append(-1)
+                blobs.append(straight)
             m = len(full)
             yield pa.record_batch([*[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.binary()), pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=[x.split()[0] for x in SIGNED.split(", ")])
 
@@ -220,7 +231,14 @@ def meet(lead: DataFrame) -> DataFrame:
             "g": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(g)]),
         })
 
-    return lead.groupBy("part").applyInArrow(run, "a long, b long, g long")
+    def straight(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for blob in part.column("lead").to_pylist():
+                n = len(blob) // 16
+                yield pa.record_batch([pa.array(np.frombuffer(blob, np.int64, n, 8 * n)), pa.nulls(n, pa.int64()), pa.array(np.frombuffer(blob, np.int64, n))], names=["a", "b", "g"])
+
+    out = "a long, b long, g long"
+    return lead.filter("part >= 0").groupBy("part").applyInArrow(run, out).union(lead.filter("part < 0").mapInArrow(straight, out))
 
 
 class Tile:
@@ -403,14 +421,14 @@ def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, first_copy): a row for each row of docs; first_copy is the smallest doc_id with this set."""
     spark: SparkSession = docs.sparkSession
     n_parts = partitions(spark) * 4
-    signed = materialise(signatures(docs, common_shingles(docs), n_parts), "signatures")
+    signed = materialise(signatures(docs, *common_shingles(docs), n_parts), "signatures")
     rows = signed.filter("n IS NOT NULL").select("doc_id", "n", "h1", "h2", "bits")
     classes = materialise(
         rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes",
     )
     met = materialise(meet(signed.filter("part IS NOT NULL").select("part", "lead")), "met")
     pairs = met.filter("g IS NULL").select("a", "b").distinct()
-    members = met.filter("g IS NOT NULL").select("g", F.col("a").alias("h1"))
+    members = met.filter("g IS NOT NULL").select("g", F.col("a").alias("h1")).distinct()
     maybe = materialise(possible(pairs, classes).union(tiles(members, classes, n_parts)), "possible")
     loose = materialise(connected(maybe, "loose"), "loose-labels")
     candidates = materialise(classes.join(loose, F.col("h1") == F.col("node")).select("rep", "h1", "h2", "n", "label"), "candidates")

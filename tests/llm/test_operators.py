@@ -58,11 +58,13 @@ def test_join_in_large_groups_and_blocks(spark, monkeypatch):
         for k in rng.integers(0, 60, i % 4):
             w[k] = f"e{i}_{k}"
         rows.append((i, " ".join(w), "en", "a"))
-    for name, value in (("TILE_MEMBERS", 20), ("UNIT_SHINGLES", 1000), ("COMMON_IN_BLOCK", 3)):
-        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(ngram_join, "TILE_MEMBERS", 20)
+    monkeypatch.setattr(ngram_join, "UNIT_SHINGLES", 1000)
     _, want = K.jaccard_components(rows)
-    got = {r.doc_id: r.component_id for r in ngram_join.components(K.documents(spark, rows)).collect()}
-    assert got == {r[0]: c for r, c in zip(rows, want)}
+    for spread in (50_000, 20):
+        monkeypatch.setattr(ngram_join, "SPREAD_FROM", spread)
+        got = {r.doc_id: r.component_id for r in ngram_join.components(K.documents(spark, rows)).collect()}
+        assert got == {r[0]: c for r, c in zip(rows, want)}
 
 
 def test_bit_counts_bound_overlaps_from_above():
