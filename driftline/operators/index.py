@@ -15,9 +15,16 @@ from ..plans.strategy import ranked, small
 FANOUT = 4
 
 
+def with_cells(points: DataFrame, level: int) -> DataFrame:
+    """points with ``cell``; points without coordinates have none and are left out.
+
+    The cell is never null to the optimizer, or it would compute it a second time below, in a null filter of later joins."""
+    return points.dropna(subset=["lat", "lon"]).withColumn("cell", F.coalesce(C.encode(F.col("lat"), F.col("lon"), level), F.lit(0).cast("long")))
+
+
 def cell_points(points: DataFrame, level: int) -> DataFrame:
     """(seq, tid, cell, ts)."""
-    return points.select("seq", "tid", C.encode(F.col("lat"), F.col("lon"), level).alias("cell"), "ts")
+    return with_cells(points, level).select("seq", "tid", "cell", "ts")
 
 
 def visits(cell_points: DataFrame) -> DataFrame:

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from ..functions.geometry import haversine
 from ..plans.strategy import by_selectivity, small
+from .index import with_cells
 
 
 def poi_cells(poi: DataFrame, level: int) -> DataFrame:
     """IDX-21: (type, cell, seq), each cell of a category once, at its first place."""
-    return poi.select("type", "seq", C.encode(F.col("lat"), F.col("lon"), level).alias("cell")).groupBy("type", "cell").agg(F.min("seq").alias("seq"))
+    return with_cells(poi, level).groupBy("type", "cell").agg(F.min("seq").alias("seq"))
 
 
 def cells_of_type(cells: DataFrame, kind: str) -> DataFrame:
@@ -45,8 +46,8 @@ def first_matches(visits: DataFrame, cells: DataFrame, types: Sequence[str]) ->
 
     One join and one aggregate for all categories; of equal (tid, type) rows partial aggregation leaves one a task."""
     c = small(cells.filter(F.col("type").isin(*types)).select("type", "cell", F.col("seq").alias("place")))
-    m = visits.join(c, "cell").groupBy("tid", "type").agg(F.min_by(F.struct("cell", "first_ts"), "place").alias("m"))
-    return m.select("tid", "type", "m.cell", "m.first_ts")
+    # A place stands for one cell of its category, so both minima are of one row; two longs aggregate by hash, a struct would by sort.
+    return visits.join(c, "cell").groupBy("tid", "type").agg(F.min_by("cell", "place").alias("cell"), F.min_by("first_ts", "place").alias("first_ts"))
 
 
 def _kinds(cells: DataFrame, types: Sequence[str], skip_empty: bool) -> int:

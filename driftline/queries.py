@@ -426,7 +426,7 @@ _FEW = "WHERE seq % 4 = 0"  # of the places, so that not every trajectory passes
 _PCF = f"pc AS (SELECT type, cell, min(seq) AS seq FROM ({C.encode_sql(f'SELECT * FROM ({POI_SQL}) {_FEW}', LEVEL)}) GROUP BY type, cell)"
 _T = "('BUILDING', 'MACHINERY', 'FURNITURE')"
 _M = f"m AS (SELECT tid, type, arg_min(v.cell, pc.seq) AS cell, arg_min(first_ts, pc.seq) AS first_ts FROM v JOIN pc USING (cell) WHERE type IN {_T} GROUP BY tid, type)"
-SPAN = 600000
+SPAN = 1_200_000
 
 
 def _visits(spark, d, level=LEVEL):
