@@ -227,18 +227,37 @@ def encode_sql(relation: str, level: int, lat: str = "lat", lon: str = "lon", ou
     return f"SELECT * EXCLUDE (_x, _y, _z, _f, _u, _v, _i, _j, _p, _o), (_f << 61) | (_p << {61 - 2 * level}) | {1 << (60 - 2 * level)}::BIGINT AS {out} FROM ({q})"
 
 
-def center_sql(relation: str, level: int, cell: str = "cell") -> str:
-    """SELECT of all columns of the relation and c_lat, c_lon."""
-    n = float(1 << level)
-    uv = lambda s: f"CASE WHEN {s} >= 0.5 THEN (4 * {s} * {s} - 1) / 3 ELSE (1 - 4 * (1 - {s}) * (1 - {s})) / 3 END"
+def ij_sql(relation: str, level: int, cell: str = "cell") -> str:
+    """SELECT of all columns of the relation and _f, _i, _j: face, row and column of a cell."""
     q = f"SELECT *, ({cell} >> 61) & 7 AS _f, 0::BIGINT AS _i, 0::BIGINT AS _j, ({cell} >> 61) & 1 AS _o FROM ({relation})"
     for k in range(level - 1, -1, -1):
         q = f"SELECT *, ({cell} >> {61 - 2 * level + 2 * k}) & 3 AS _q FROM ({q})"
         q = f"SELECT *, {POS_TO_IJ}[(_o * 4 + _q + 1)::INT]::BIGINT AS _r FROM ({q})"
         q = f"SELECT * EXCLUDE (_q, _r) REPLACE (_i * 2 + (_r >> 1) AS _i, _j * 2 + (_r & 1) AS _j, xor(_o, {TURN}[(_q + 1)::INT]::BIGINT) AS _o) FROM ({q})"
-    q = f"SELECT *, (_i + 0.5::DOUBLE) / {n}::DOUBLE AS _s, (_j + 0.5::DOUBLE) / {n}::DOUBLE AS _t FROM ({q})"
+    return f"SELECT * EXCLUDE (_o) FROM ({q})"
+
+
+def place_sql(relation: str, level: int, i: float, j: float, name: str) -> str:
+    """SELECT of all columns of the relation (with _f, _i, _j) and name_lat, name_lon of the place (i, j) in the cell's square."""
+    n = float(1 << level)
+    uv = lambda s: f"CASE WHEN {s} >= 0.5 THEN (4 * {s} * {s} - 1) / 3 ELSE (1 - 4 * (1 - {s}) * (1 - {s})) / 3 END"
+    q = f"SELECT *, (_i + {i}::DOUBLE) / {n}::DOUBLE AS _s, (_j + {j}::DOUBLE) / {n}::DOUBLE AS _t FROM ({relation})"
     q = f"SELECT *, {uv('_s')} AS _u, {uv('_t')} AS _v FROM ({q})"
     q = f"""SELECT *, CASE _f WHEN 0 THEN 1 WHEN 1 THEN -_u WHEN 2 THEN -_u WHEN 3 THEN -1 ELSE _v END::DOUBLE AS _x,
       CASE _f WHEN 0 THEN _u WHEN 1 THEN 1 WHEN 2 THEN -_v WHEN 3 THEN -_v WHEN 4 THEN -1 ELSE _u END::DOUBLE AS _y,
       CASE _f WHEN 0 THEN _v WHEN 1 THEN _v WHEN 2 THEN 1 WHEN 3 THEN -_u WHEN 4 THEN -_u ELSE -1 END::DOUBLE AS _z FROM ({q})"""
-    return f"SELECT * EXCLUDE (_f, _i, _j, _o, _s, _t, _u, _v, _x, _y, _z), degrees(atan2(_z, sqrt(_x * _x + _y * _y))) AS c_lat, degrees(atan2(_y, _x)) AS c_lon FROM ({q})"
+    return f"SELECT * EXCLUDE (_s, _t, _u, _v, _x, _y, _z), degrees(atan2(_z, sqrt(_x * _x + _y * _y))) AS {name}_lat, degrees(atan2(_y, _x)) AS {name}_lon FROM ({q})"
+
+
+def center_sql(relation: str, level: int, cell: str = "cell") -> str:
+    """SELECT of all columns of the relation and c_lat, c_lon."""
+    return f"SELECT * EXCLUDE (_f, _i, _j) FROM ({place_sql(ij_sql(relation, level, cell), level, 0.5, 0.5, 'c')})"
+
+
+def rect_sql(relation: str, level: int, cell: str = "cell") -> str:
+    """SELECT of all columns of the relation, _f, _i, _j, c_lat, c_lon and min_lat, max_lat, min_lon, max_lon of the corners."""
+    q = place_sql(ij_sql(relation, level, cell), level, 0.5, 0.5, "c")
+    for k, (i, j) in enumerate(((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))):
+        q = place_sql(q, level, i, j, f"k{k}")
+    many = lambda f, c: f"{f}({', '.join(f'k{k}_{c}' for k in range(4))})"
+    return f"SELECT * EXCLUDE ({', '.join(f'k{k}_{c}' for k in range(4) for c in ('lat', 'lon'))}), {many('least', 'lat')} AS min_lat, {many('greatest', 'lat')} AS max_lat, {many('least', 'lon')} AS min_lon, {many('greatest', 'lon')} AS max_lon FROM ({q})"

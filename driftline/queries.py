@@ -361,7 +361,25 @@ def save_cells_dedup(spark, d):
     return writers.drop_repeated_cells(_cell_points(spark, d)).select("seq", "tid", "cell", "ts")
 
 
-@query("segment_cells")
+def _segment_sql(level: int = 8) -> str:
+    """All cells around the points' box, found by encoding a fine raster, against every segment."""
+    raster = "SELECT (39.0::DOUBLE + y * 0.02::DOUBLE) AS lat, (115.5::DOUBLE + x * 0.02::DOUBLE) AS lon FROM range(100) a(x), range(100) b(y)"
+    ends = lambda pre: f"SELECT cell AS {pre}_cell, _f AS {pre}_f, _i AS {pre}_i, _j AS {pre}_j FROM own"
+    side = lambda x, y: f"sign((n_lon - lon) * ({y} - lat) - (n_lat - lat) * ({x} - lon))"
+    sides = ", ".join(side(f"r.{x}_lon", f"r.{y}_lat") for x in ("min", "max") for y in ("min", "max"))
+    share = "least(greatest(((r.c_lon - lon) * (n_lon - lon) + (r.c_lat - lat) * (n_lat - lat)) / ((n_lon - lon) * (n_lon - lon) + (n_lat - lat) * (n_lat - lat)), 0.0::DOUBLE), 1.0::DOUBLE)"
+    return f"""WITH {P}, cp AS ({C.encode_sql('SELECT seq, tid, ts, lon, lat FROM points', level)}),
+own AS ({C.ij_sql('SELECT DISTINCT cell FROM cp', level)}),
+d AS (SELECT *, lead(ts) OVER w AS n_ts, lead(lon) OVER w AS n_lon, lead(lat) OVER w AS n_lat, lead(cell) OVER w AS n_cell FROM cp WINDOW w AS (PARTITION BY tid ORDER BY ts, seq)),
+far AS (SELECT d.* FROM d JOIN ({ends('a')}) ON a_cell = cell JOIN ({ends('b')}) ON b_cell = n_cell WHERE a_f = b_f AND (abs(a_i - b_i) > 1 OR abs(a_j - b_j) > 1)),
+r AS ({C.rect_sql(f"SELECT DISTINCT cell AS c FROM ({C.encode_sql(raster, level)})", level, 'c')}),
+met AS (SELECT tid, seq, r.c AS cell, ts + CAST(floor({share} * (n_ts - ts)) AS BIGINT) AS t, count(*) OVER (PARTITION BY seq) AS n FROM far JOIN r
+  ON r.c >= least(far.cell, n_cell) AND r.c < greatest(far.cell, n_cell) AND r.c <> far.cell
+  AND greatest(lon, n_lon) >= r.min_lon AND least(lon, n_lon) <= r.max_lon AND greatest(lat, n_lat) >= r.min_lat AND least(lat, n_lat) <= r.max_lat AND least({sides}) <= 0 AND greatest({sides}) >= 0)
+SELECT tid, seq, 0::BIGINT AS k, cell, ts FROM cp UNION ALL SELECT tid, seq, row_number() OVER (PARTITION BY seq ORDER BY t, cell) AS k, cell, t AS ts FROM met WHERE n < 10"""
+
+
+@query("segment_cells", _segment_sql())
 def segment_cells(spark, d):
     return trajectories.segment_cells(model.points(spark, d), 8)
 
