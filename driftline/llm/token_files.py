@@ -185,7 +185,7 @@ class TokenFile:
 
     def __init__(self, path: str) -> None:
         fs, name = open_fs(path)
-        source = pa.memory_map(name) if isinstance(fs, pafs.LocalFileSystem) else pa.BufferReader(fs.open_input_file(name).read_buffer() if hasattr(fs.open_input_file(name), "read_buffer") else fs.open_input_file(name).read())
+        source = pa.memory_map(name) if isinstance(fs, pafs.LocalFileSystem) else pa.BufferReader(fs.open_input_file(name).read_buffer())
         self.batches = list(pa.ipc.open_stream(source))
         self.length = self.batches[0].schema.field("ids").type.list_size
         self.rows = self.batches[0].num_rows
