@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["poi_search"](spark, sf_dir)
+    return QUERIES["poi_search_all"](spark, sf_dir)
 
 
 def r6(c) -> "F.Column":
@@ -521,6 +521,42 @@ def category_count_legacy(spark, d):
     return pattern.category_count(_cell_points(spark, d), _places(spark, d), TYPES, T0, T1, legacy=True)
 
 
+# The same over all places; those above take every fourth.
+
+
+def _all_places(spark, d):
+    return pattern.poi_cells(model.poi(spark, d), LEVEL)
+
+
+@query("poi_search_all", f"WITH {P}, {_CP}, {_V}, {_PC}, {_M} SELECT tid, count(*) AS n_types, max(first_ts) - min(first_ts) AS span FROM m GROUP BY tid HAVING count(*) = 3 AND max(first_ts) - min(first_ts) < {SPAN}")
+def poi_search_all(spark, d):
+    return pattern.poi_search(_visits(spark, d), _all_places(spark, d), TYPES, [0, SPAN])
+
+
+@query("poi_search_legacy_all", f"WITH {P}, {_CP}, {_V}, {_PC}, {_M} SELECT tid, count(*) AS n_types, max(first_ts) - min(first_ts) AS span FROM m GROUP BY tid HAVING max(first_ts) - min(first_ts) < {SPAN}")
+def poi_search_legacy_all(spark, d):
+    return pattern.poi_search(_visits(spark, d), _all_places(spark, d), TYPES, [0, SPAN], require_all=False)
+
+
+@query("category_filter_all", f"WITH {P}, {_CP}, {_V}, {_PC}, {_M} SELECT * FROM m WHERE tid IN (SELECT tid FROM m GROUP BY tid HAVING count(*) = 3)")
+def category_filter_all(spark, d):
+    return pattern.category_filter(_visits(spark, d), _all_places(spark, d), TYPES)
+
+
+def _count_all_sql(n: str) -> str:
+    return f"WITH {P}, {_CP}, {_PC} SELECT tid, {n} AS n FROM cp JOIN pc USING (cell) WHERE type IN {_T} AND ts > {T0} AND ts < {T1} GROUP BY tid HAVING {n} >= 3"
+
+
+@query("category_count_all", _count_all_sql("count(DISTINCT type)"))
+def category_count_all(spark, d):
+    return pattern.category_count(_cell_points(spark, d), _all_places(spark, d), TYPES, T0, T1)
+
+
+@query("category_count_legacy_all", _count_all_sql("count(*)"))
+def category_count_legacy_all(spark, d):
+    return pattern.category_count(_cell_points(spark, d), _all_places(spark, d), TYPES, T0, T1, legacy=True)
+
+
 _CP8 = f"cp AS ({C.encode_sql('SELECT seq, tid, ts, lon, lat FROM points', COARSE)})"
 _PC8 = f"pc AS (SELECT type, cell, c_lat, c_lon FROM ({C.center_sql(f'SELECT DISTINCT type, cell FROM ({C.encode_sql(POI_SQL, COARSE)})', COARSE)}))"
 _LONGEST = 60000.0
