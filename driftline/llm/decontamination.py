@@ -5,11 +5,16 @@ Every window of ``WINDOW`` template words of every whole text meets the windows
 its slots are consistent, which is to say that equal values stand in equal slots and different values in different ones on both
 sides. A benchmark item shorter than a window is one window of its own length, down to ``SHORTEST`` words.
 
+Each window is compared in three forms, and a document holds an item if any of them matches: with names inside sentences as slots;
+with every capitalised word as a name, so that names which start a sentence are slots too; and word by word without slots, so that
+verbatim copies match wherever they stand and however few literal words they have. The windows reported are those of the first form
+that matches.
+
 A number starts with a digit; a unit is a word of UNITS behind a number; a name is a word with one capital first letter inside a
 sentence. Words are compared in lower case without punctuation.
 
 Defined results: null, empty and short texts match nothing; items without text or with fewer than SHORTEST words, and windows
-with fewer than ``LITERAL`` words besides placeholders, match nothing; equal items are all reported; repeated and null doc_ids are
+with fewer than ``LITERAL`` words besides placeholders, match only word by word; equal items are all reported; repeated and null doc_ids are
 reported like any other, once for each doc_id and item; empty tables give an empty result; extra columns are ignored or, in
 ``without_leaks``, kept.
 """
@@ -31,6 +36,8 @@ UNITS = (
 )
 #: Placeholders, from the private use area, and the mark between the digits of one number.
 NAME, NUMBER, UNIT, JOINT = "\ue001", "\ue002", "\ue003", "\ue004"
+#: Before a capitalised word that NAMES leaves out: first in its text or sentence, or behind a quote or bracket.
+INITIAL = "\ue005"
 #: Whole-text substitutions, in order, without look-around, so that SQL engines can share them. Names come before lower-casing.
 NAMES = (r"([\p{L}\p{N},;] )(\p{Lu}\p{Ll})", NAME)
 NUMBERS = (
@@ -39,17 +46,29 @@ NUMBERS = (
 )
 UNIT_RE = rf"({NUMBER}[\p{{N}}{JOINT}]+[^\p{{L}}\p{{N}}]* )({'|'.join(UNITS)})($|[^\p{{L}}\p{{N}}])"
 REST = rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{JOINT}]+"
+INITIALS = rf"(^|[^\p{{L}}\p{{M}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}})"
+UNIT_OR_INITIAL_RE = UNIT_RE.replace("]* )(", f"]* {INITIAL}?)(")
+REST_OR_INITIAL = REST.replace(f"{NAME}-{JOINT}", f"{NAME}-{INITIAL}")
 
 
 def slotted(text: Column) -> Column:
-    """Lower-case words one space apart, without punctuation; a word that fills a slot has its placeholder in front."""
+    """Lower-case words one space apart, without punctuation; a word that fills a slot has its placeholder in front, and one that
+    fills it only if names may start a sentence has INITIAL before that."""
     t = F.coalesce(text, F.lit(""))
-    low = F.lower(F.when(t.rlike(NAMES[0]), F.regexp_replace(t, NAMES[0], f"$1{NAME}$2")).otherwise(t))
+    named = F.when(t.rlike(NAMES[0]), F.regexp_replace(t, NAMES[0], f"$1{NAME}$2")).otherwise(t)
+    low = F.lower(F.regexp_replace(named, INITIALS, f"$1{INITIAL}$2"))
     numbered = low
     for regex, (_, mark, _) in NUMBERS:
         numbered = F.regexp_replace(numbered, regex, f"$1{mark}$2")
-    numbered = F.when(low.rlike("[0-9]"), F.regexp_replace(numbered, UNIT_RE, f"$1{UNIT}$2$3")).otherwise(low)
-    return F.trim(F.regexp_replace(numbered, REST, " "))
+    numbered = F.when(low.rlike("[0-9]"), F.regexp_replace(numbered, UNIT_OR_INITIAL_RE, f"$1{UNIT}$2$3")).otherwise(low)
+    return F.trim(F.regexp_replace(numbered, REST_OR_INITIAL, " "))
+
+
+def forms(slotted_words: Column) -> list[Column]:
+    """Names inside sentences as slots; capitalised words wherever they stand; no slots. Words stand at equal places in all."""
+    bare = F.translate(slotted_words, INITIAL, "")
+    initial = F.translate(F.replace(slotted_words, F.lit(INITIAL + UNIT), F.lit(UNIT)), INITIAL, NAME)
+    return [bare, initial, F.translate(bare, NAME + NUMBER + UNIT, "")]
 
 
 def template(slotted_words: Column) -> Column:
@@ -67,24 +86,32 @@ def pattern(values: Column) -> Column:
 
 
 def windows(rows: DataFrame, key: str, length: int, whole: bool = False) -> DataFrame:
-    """(key, pos, size, hash, values) of each window of ``length`` words; ``whole``: only where it is the whole text; values is
-    null in a text without slots. Words are hashed once and windows from these hashes. Short texts give an empty list instead of
-    a filter, which would be pushed below the substitutions and repeat them."""
-    count = F.size("hashes")
-    d = rows.select(
-        key, F.split("slotted", " ").alias("words"), F.transform(F.split(template(F.col("slotted")), " "), lambda w: F.xxhash64(w)).alias("hashes"),
-        F.col("slotted").rlike(f"[{NAME}-{UNIT}]").alias("any"),
-    )
-    made = F.transform(
-        F.when((count == length) if whole else (count >= length), F.sequence(F.lit(1), count - (length - 1))),
-        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("hashes", i, length)).alias("hash"), F.when(F.col("any"), slots(F.slice("words", i, length))).alias("values")),
-    )
-    d = d.select(key, F.explode(made).alias("w")).select(key, "w.pos", F.lit(length).alias("size"), "w.hash", "w.values")
+    """(key, form, pos, size, hash, values) of each window of ``length`` words in each of its forms; ``whole``: only where it is the whole
+    text; values is null in a text without slots. A form is left out where it equals the one before. Words are hashed once and
+    windows from these hashes. Short texts give an empty list instead of a filter, which would be pushed below the substitutions
+    and repeat them."""
+    d = rows.select(key, F.col("slotted").contains(INITIAL).alias("begins"), *[f.alias(f"form{k}") for k, f in enumerate(forms(F.col("slotted")))])
+    words = [F.split(f"form{k}", " ").alias(f"words{k}") for k in range(2)]
+    some = [F.col(f"form{k}").rlike(f"[{NAME}-{UNIT}]").alias(f"any{k}") for k in range(2)]
+    hashes = [F.transform(F.split(template(F.col(f"form{k}")) if k < 2 else F.col("form2"), " "), lambda w: F.xxhash64(w)).alias(f"hashes{k}") for k in range(3)]
+    d = d.select(key, "begins", *words, *some, *hashes)
+    count = F.size("hashes0")
+    places = F.when((count == length) if whole else (count >= length), F.sequence(F.lit(1), count - (length - 1)))
+
+    def made(k: int, here: Column) -> Column:
+        def one(i: Column) -> Column:
+            values = F.when(F.col(f"any{k}"), slots(F.slice(f"words{k}", i, length))) if k < 2 else F.lit(None).cast("array<string>")
+            return F.struct(F.lit(k).alias("form"), i.alias("pos"), F.xxhash64(F.slice(f"hashes{k}", i, length)).alias("hash"), values.alias("values"))
+
+        return F.coalesce(F.when(here, F.transform(places, one)), F.array().cast("array<struct<form:int,pos:int,hash:bigint,values:array<string>>>"))
+
+    each = F.concat(made(0, F.lit(True)), made(1, F.col("begins")), made(2, F.col("any0") | F.col("any1")))
+    d = d.select(key, F.explode(each).alias("w")).select(key, "w.form", "w.pos", F.lit(length).alias("size"), "w.hash", "w.values")
     return d.filter(F.col("values").isNull() | (F.lit(length) - F.size("values") >= min(LITERAL, length)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, n_windows, first_word, last_word): documents and the items they hold, with the words that match."""
+    """(doc_id, item_id, n_windows, first_word, last_word): documents and the items they hold, with the words of the first form that matches."""
     items = benchmark.select("item_id", slotted(F.col("text")).alias("slotted"))
     n = F.size(F.split("slotted", " "))
     short = [r["n"] for r in items.select(n.alias("n")).filter((F.col("n") >= SHORTEST) & (F.col("n") < length)).distinct().collect()]  # WINDOW - SHORTEST at most
@@ -92,7 +119,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFr
     known = parts[0]
     for p in parts[1:]:
         known = known.unionByName(p)
-    known = known.select("item_id", "size", "hash", F.col("values").alias("item_values"))
+    known = known.select("item_id", "size", "hash", F.col("form").alias("item_form"), F.col("values").alias("item_values"))
     small = known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     texts = docs.select("doc_id", slotted(F.col("text")).alias("slotted"))
     found = windows(texts, "doc_id", length)
@@ -101,9 +128,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFr
     met = found.join(F.broadcast(known) if small else known, ["hash", "size"])
     none = F.array().cast("array<string>")
     consistent = met.filter(pattern(F.coalesce("values", none)) == pattern(F.coalesce("item_values", none)))
-    return consistent.groupBy("doc_id", "item_id").agg(
+    by_form = consistent.groupBy("doc_id", "item_id", F.greatest("form", "item_form").alias("form")).agg(
         F.countDistinct("pos").alias("n_windows"), F.min("pos").cast("long").alias("first_word"), (F.max(F.col("pos") + F.col("size")) - 1).cast("long").alias("last_word"),
     )
+    first = F.min(F.struct("form", "n_windows", "first_word", "last_word")).alias("m")
+    return by_form.groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", "m.n_windows", "m.first_word", "m.last_word")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
