@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The Hilbert curve's quarter at (orientation, i, j), the (i, j) at (orientation, quarter), and the turn of each quarter. Fixed values.
@@ -25,7 +26,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _at(values: list[int], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    """One expression text: a call for each value would take longer to plan than the query to run."""
+    return F.element_at(F.expr(f"array({','.join(map(str, values))})"), (index + 1).cast("int"))
 
 
 def _st(u: Column) -> Column:
@@ -89,6 +91,54 @@ def encode(lat: Column, lon: Column, level: int) -> Column:
     )
 
 
+#: Levels that one table of ``with_cell`` covers.
+_STEP = 4
+
+
+@cache
+def _step_table(bits: int) -> list[int]:
+    """By (i bits, j bits, orientation): the curve position of these bits and the orientation behind them, made from the tables above."""
+    out = []
+    for key in range(1 << (2 * bits + 2)):
+        i, j, o = key >> (bits + 2), (key >> 2) & ((1 << bits) - 1), key & 3
+        pos = 0
+        for k in range(bits - 1, -1, -1):
+            q = IJ_TO_POS[o * 4 + ((i >> k) & 1) * 2 + ((j >> k) & 1)]
+            pos, o = pos * 4 + q, o ^ TURN[q]
+        out.append(pos << 2 | o)
+    return out
+
+
+def with_cell(df: DataFrame, level: int, lat: str = "lat", lon: str = "lon", out: str = "cell") -> DataFrame:
+    """df with ``encode`` of its columns, by projections that each hold one step: nothing is computed twice, and all of it is generated
+    code. Curve bits come four levels at once from tables. Null coordinates give the cell 0; filter them before."""
+    p, a = F.radians(lat), F.radians(lon)
+    keep = [c for c in df.columns if c != out]
+    d = df.select(*keep, (F.cos(p) * F.cos(a)).alias("_x"), (F.cos(p) * F.sin(a)).alias("_y"), F.sin(p).alias("_z"))
+    x, y, z = F.col("_x"), F.col("_y"), F.col("_z")
+    ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
+    face = F.when((ax >= ay) & (ax >= az), F.when(x < 0, 3).otherwise(0)).when(ay >= az, F.when(y < 0, 4).otherwise(1)).otherwise(F.when(z < 0, 5).otherwise(2))
+    d = d.select(*keep, "_x", "_y", "_z", face.cast("long").alias("_f"))
+    f = F.col("_f")
+    u = F.when(f == 0, y / x).when(f == 1, -x / y).when(f == 2, -x / z).when(f == 3, z / x).when(f == 4, z / y).otherwise(-y / z)
+    v = F.when(f == 0, z / x).when(f == 1, z / y).when(f == 2, -y / z).when(f == 3, y / x).when(f == 4, -x / y).otherwise(-x / z)
+    d = d.select(*keep, "_f", u.alias("_u"), v.alias("_v"))
+    n = 1 << level
+    place = lambda c: F.least(F.greatest(F.floor(_st(F.col(c)) * n), F.lit(0)), F.lit(n - 1)).cast("long")
+    d = d.select(*keep, "_f", place("_u").alias("_i"), place("_v").alias("_j"))
+    got, turn, left = F.shiftleft("_f", 61), F.col("_f").bitwiseAND(F.lit(1)), level
+    while left:
+        bits = min(_STEP, left)
+        left -= bits
+        part = lambda c: F.shiftright(F.col(c), left).bitwiseAND(F.lit((1 << bits) - 1))  # noqa: E731, B023
+        key = F.shiftleft(part("_i"), bits + 2).bitwiseOR(F.shiftleft(part("_j"), 2)).bitwiseOR(turn)
+        d = d.select("*", _at(_step_table(bits), key).cast("long").alias(f"_r{left}"))
+        r = F.col(f"_r{left}")
+        got, turn = got.bitwiseOR(F.shiftleft(F.shiftright(r, 2), 61 - 2 * level + 2 * left)), r.bitwiseAND(F.lit(3))
+    # A generator is where the optimizer stops: a filter on the cell is not moved below, which would unfold all steps in it.
+    return d.select(*keep, F.explode(F.array(F.coalesce(got.bitwiseOR(F.lit(1 << (60 - 2 * level))), F.lit(0).cast("long")))).alias(out))
+
+
 def lsb(cell: Column) -> Column:
     return cell.bitwiseAND(-cell)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import cells as C
 from .cells import let
 from .geometry import EARTH_M, haversine
+from ..plans.storage import materialise
 
 Rect = dict[str, Column]
 
@@ -149,30 +150,70 @@ def loop(vertices: list[tuple[float, float]]) -> Column:
 # -- coverings --------------------------------------------------------------------------------------------------------------
 
 
-def cover(spark: SparkSession, left: float, bottom: float, right: float, top: float, level: int) -> DataFrame:
-    """GEO-8: (cell) of a level whose rectangle meets a region, by subdivision from the six faces, four levels at once. Cells that
-    hold a pole or the date line are kept until they split, so none is lost."""
+def _meets(r: Column, left: float, bottom: float, right: float, top: float, level: int) -> Column:
+    """Whether the corners' rectangle meets a region. Edges bulge beyond their corners by a share that falls by four a level; a cell over
+    the date line reaches from its larger longitude on; longitudes near a pole say nothing."""
+    slack = bulge(level)
+    band = (r["min_lat"] - slack <= top) & (r["max_lat"] + slack >= bottom)
+    wide = r["max_lon"] - r["min_lon"] > (120 if level < 4 else 180)
+    over = F.lit(level < 4) | (F.greatest(F.abs(r["min_lat"]), F.abs(r["max_lat"])) > 80) | (r["max_lon"] <= right) | (r["min_lon"] >= left)
+    return band & F.when(wide, over).otherwise((r["min_lon"] <= right) & (r["max_lon"] >= left))
+
+
+def bulge(level: int) -> float:
+    return 20.0 * 4.0**-level
+
+
+def cover(spark: SparkSession, left: float, bottom: float, right: float, top: float, level: int, inside: bool = False) -> DataFrame:
+    """GEO-8: (cell) of a level whose rectangle meets a region, by subdivision from the six faces, four levels at once; ``inside``: of
+    these, the cells that lie in it (an interior covering)."""
     now = spark.createDataFrame([((f << 61) | (1 << 60) if f < 4 else ((f << 61) | (1 << 60)) - 2**64,) for f in range(6)], "cell long")
     for k in [*range(4, level, 4), level]:
         step = 1 << (60 - 2 * k)
         kids = F.sequence(C.range_min(F.col("cell")) + (step - 1), C.range_max(F.col("cell")) - (step - 1), F.lit(2 * step))
-        now = now.select(F.explode(kids).alias("cell"))
-        slack = 2.0 ** (4 - k)  # corners understate a cell's latitudes
+        now = now.select(F.explode(kids).alias("cell")).filter(let(C.rect_of(F.col("cell"), k), lambda r: _meets(r, left, bottom, right, top, k)))  # noqa: B023
+    if inside:
+        slack = bulge(level)
+        now = now.filter(let(C.rect_of(F.col("cell"), level), lambda r: (r["min_lon"] >= left) & (r["max_lon"] <= right) & (r["min_lat"] - slack >= bottom) & (r["max_lat"] + slack <= top)))
+    return now
 
-        def meets(r: Column) -> Column:  # called at once, while k and slack are this round's
-            near = (r["min_lon"] <= right) & (r["max_lon"] >= left) & (r["min_lat"] - slack <= top) & (r["max_lat"] + slack >= bottom)
-            return near | (r["max_lon"] - r["min_lon"] > 120) if k < level else near
 
-        now = now.filter(let(C.rect_of(F.col("cell"), k), meets))
-    return now
+def _ancestors(cell: Column, strict: bool = True) -> Column:
+    """The cells of all levels above one, at most 30."""
+    own = C.level_of(cell)
+    up = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.when(
+        (k < own) if strict else (k <= own), let(F.call_function("shiftleft", F.lit(1).cast("long"), 60 - 2 * k), lambda b: cell.bitwiseAND(-b).bitwiseOR(b)),
+    ))
+    return F.filter(up, lambda c: c.isNotNull())
 
 
 def normalised(cells: DataFrame) -> DataFrame:
-    """GEO-7: a cell union without cells that another one holds, and with four siblings replaced by their parent, once."""
+    """GEO-7: a cell union without cells that another one holds, and with four siblings replaced by their parent until there are none;
+    each round works one level up, and what it leaves alone is not read again."""
     c = cells.select("cell").distinct()
-    with_level = c.withColumn("l", C.lsb(F.col("cell")))
-    up = with_level.select("cell", "l", (F.col("cell").bitwiseAND(-(F.col("l") * 4)).bitwiseOR(F.col("l") * 4)).alias("parent"))
-    full = up.groupBy("parent", "l").count().filter("count = 4").select("parent", "l")
-    kept = up.join(full, ["parent", "l"], "left_anti").select("cell").union(full.select("parent"))
-    other = kept.select(F.col("cell").alias("o"))
-    return kept.join(other, (F.col("cell") != F.col("o")) & C.contains(F.col("o"), F.col("cell")), "left_anti")
+    inner = c.select(F.col("cell").alias("_own"), F.explode(_ancestors(F.col("cell"))).alias("cell")).join(c, "cell", "left_semi").select(F.col("_own").alias("cell")).distinct()
+    now = materialise(c.join(inner, "cell", "left_anti"), "union")
+    todo = {r["l"] for r in now.select(C.level_of(F.col("cell")).alias("l")).distinct().collect()}  # 31 at most
+    for level in range(30, 0, -1):
+        if level not in todo:
+            continue
+        bit = 1 << (60 - 2 * (level - 1))
+        own = now.filter(C.level_of(F.col("cell")) == level).withColumn("up", F.col("cell").bitwiseAND(F.lit(-bit)).bitwiseOR(F.lit(bit)))
+        full = own.groupBy("up").count().filter("count = 4").select("up")
+        if not full.isEmpty():
+            now = materialise(now.join(own.join(full, "up", "left_semi").select("cell"), "cell", "left_anti").union(full), "union")
+            todo.add(level - 1)
+    return now
+
+
+def union_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    """GEO-7: the cells of either union that the other one holds, itself or by a larger cell."""
+    held = lambda x, y: x.select("cell").distinct().select(F.col("cell").alias("_own"), F.explode(_ancestors(F.col("cell"), strict=False)).alias("cell")).join(y.select("cell").distinct(), "cell", "left_semi").select(F.col("_own").alias("cell"))
+    return held(a, b).union(held(b, a)).distinct()
+
+
+def union_difference(a: DataFrame, b: DataFrame, level: int) -> DataFrame:
+    """GEO-7: cells of ``level`` in the union a and not in b; both hold cells of that level or above."""
+    bit = 1 << (60 - 2 * level)
+    leaves_ = lambda x: x.select(F.explode(F.sequence(C.range_min(F.col("cell")) + (bit - 1), C.range_max(F.col("cell")) - (bit - 1), F.lit(2 * bit))).alias("cell")).distinct()
+    return leaves_(a).join(leaves_(b), "cell", "left_anti")

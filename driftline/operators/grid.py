@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import euclidean, lsh_coefficients
 from ..plans.graph import components
 from ..plans.storage import materialise
+from ..plans.strategy import ranked
 
 
 def grid(spark: SparkSession, left: float, top: float, right: float, bottom: float, nx: int, ny: int) -> DataFrame:
@@ -57,9 +58,7 @@ def dbscan(points: DataFrame, eps: float, min_points: int) -> DataFrame:
     core = materialise(both.groupBy("a").count().filter(F.col("count") >= min_points).select(F.col("a").alias("id")), "cores")
     links = near.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
     label = core.join(components(links, "clusters"), F.col("id") == F.col("node"), "left").select("id", F.coalesce("label", "id").alias("label"))
-    from ..plans.strategy import ranked
-
-    number = ranked(label.select("label").distinct(), "label", []).select("label", (F.col("rn") - 1).alias("cluster"))
+    number = ranked(label.select("label").distinct(), [F.col("label")]).select("label", (F.col("rn") - 1).alias("cluster"))
     cores = label.join(number, "label").select("id", "cluster")
     border = both.join(core.withColumnRenamed("id", "a"), "a", "left_anti").join(cores.withColumnRenamed("id", "b"), "b")
     border = border.groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))

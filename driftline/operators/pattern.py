@@ -5,13 +5,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
-from ..functions.geometry import haversine
+from ..functions.geometry import EARTH_M, haversine
+from ..plans.storage import materialise
 from ..plans.strategy import by_selectivity, small
 from .index import with_cells
 
@@ -82,13 +85,28 @@ def category_count(cell_points: DataFrame, cells: DataFrame, types: Sequence[str
 def expand_paths(cells: DataFrame, types: Sequence[str], level: int, longest: float) -> DataFrame:
     """JN-2, IDX-19: (cells, distance) of one cell of each category, in the order given, with a running distance below ``longest``.
 
-    A theta join by nature; each round prunes by distance, and the caller orders categories from the fewest cells on."""
-    where = lambda t: cells.filter(F.col("type") == t).select("cell", C.center(F.col("cell"), level).alias("at"))
-    now = where(types[0]).select(F.array("cell").alias("cells"), F.lit(0.0).alias("distance"), F.col("at").alias("last"))
+    A theta join; no step is longer than ``longest``, so its ends lie in the same or neighbouring cubes of the straight distance that
+    belongs to it, and the join has the cube as an equal key. The caller orders categories from the fewest cells on."""
+    side = 2 * math.sin(min(longest / EARTH_M, math.pi) / 2) * (1 + 1e-9) or 1e-12
+
+    middles = materialise(cells.filter(F.col("type").isin(*types)).select("type", "cell", C.center(F.col("cell"), level).alias("at")).distinct(), "middles")
+
+    def where(t: str) -> DataFrame:
+        p = middles.filter(F.col("type") == t)
+        la, lo = F.radians("at.lat"), F.radians("at.lon")
+        xyz = (F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))
+        return p.select("cell", "at", F.struct(*[F.floor(v / side).alias(n) for v, n in zip(xyz, "xyz")]).alias("cube"))
+
+    around = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, "xyz")]) for o in product((-1, 0, 1), repeat=3)])
+    now = where(types[0]).select(F.array("cell").alias("cells"), F.lit(0.0).alias("distance"), F.col("at").alias("last"), "cube")
     for t in types[1:]:
-        nxt = small(where(t).select(F.col("cell").alias("c"), F.col("at").alias("to")))
+        nxt = where(t).withColumn("o", F.explode(around)).select(
+            F.col("cell").alias("c"), F.col("at").alias("to"), F.col("cube").alias("to_cube"), F.struct(*[(F.col(f"cube.{n}") + F.col(f"o.{n}")).alias(n) for n in "xyz"]).alias("cube"),
+        )
         d = F.col("distance") + haversine(F.col("last.lat"), F.col("last.lon"), F.col("to.lat"), F.col("to.lon"))
-        now = now.join(nxt, d < longest).select(F.concat("cells", F.array("c")).alias("cells"), d.alias("distance"), F.col("to").alias("last"))
+        now = now.join(small(nxt), "cube").withColumn("d", d).filter(F.col("d") < longest).select(
+            F.concat("cells", F.array("c")).alias("cells"), F.col("d").alias("distance"), F.col("to").alias("last"), F.col("to_cube").alias("cube"),
+        )
     return now.select("cells", "distance")
 
 
@@ -110,10 +128,13 @@ def time_filter(visits: DataFrame, cells: DataFrame, types: Sequence[str], times
     return covering(visits, paths, span).select("tid").distinct()
 
 
-def chain(measures: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
+def chain(measures: DataFrame, pairs: DataFrame, longest: int, key: str | None = None) -> DataFrame:
     """JN-3: measures (m, cells, latest, interval) x pairs (pos, cell, ts): a later pair extends a measure while the interval stays
-    below ``longest``; pairs no later than ``latest`` that stand before it (by pos) join its cells without a row of their own."""
-    every = measures.join(small(pairs), how="cross")
+    below ``longest``; pairs no later than ``latest`` that stand before it (by pos) join its cells without a row of their own.
+
+    ``key``: a column of both sides, such as the trajectory, that measure and pairs share; without it every measure meets every pair,
+    so one side must be small."""
+    every = measures.join(pairs, key) if key else measures.join(small(pairs), how="cross")
     seen = F.collect_list(F.when(F.col("ts") <= F.col("latest"), F.col("cell"))).over(Window.partitionBy("m").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     more = F.col("interval") + F.col("ts") - F.col("latest")
     return every.withColumn("_seen", seen).filter((F.col("ts") > F.col("latest")) & (more < longest)).select(

@@ -13,6 +13,7 @@ from .functions import shapes
 from .functions import text as X
 from .model import CATALOG_SQL, POI_SQL, POINTS_SQL, djb2_sql
 from .operators import grid, index, pattern, selections, trajectories
+from .plans.strategy import by_selectivity
 from .sources import catalog as cat
 from .sources import readers, writers
 
@@ -23,7 +24,7 @@ P = f"points AS ({POINTS_SQL})"
 BOX = (116.2, 40.1, 116.6, 39.7)  # left, top, right, bottom
 T0, T1 = 1704500000, 1706000000
 TYPES = ("BUILDING", "MACHINERY", "FURNITURE")
-LEVEL, COARSE = 11, 8
+LEVEL = 11
 
 
 def query(name: str, sql: str | None = None):
@@ -37,7 +38,7 @@ def query(name: str, sql: str | None = None):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["poi_search_all"](spark, sf_dir)
+    return QUERIES["poi_search"](spark, sf_dir)
 
 
 def r6(c) -> "F.Column":
@@ -57,9 +58,9 @@ def sel_by_ids_time(spark, d):
     return selections.by_ids_time(model.points(spark, d), [3, 5, 8, 13], T0, T1)
 
 
-@query("sel_by_ids_table", f"WITH {P} SELECT tid, lat, lon, ts FROM points WHERE tid IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0) AND ts > {T0} AND ts < {T1}")
+@query("sel_by_ids_table", f"WITH {P} SELECT tid, lat, lon, ts FROM points WHERE tid IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND ts > {T0} AND ts < {T1}")
 def sel_by_ids_table(spark, d):
-    ids = model.table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").cast("int").alias("tid"))
+    ids = model.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("int").alias("tid"))
     return selections.by_ids_time(model.points(spark, d), ids, T0, T1)
 
 
@@ -91,9 +92,10 @@ def one_trajectory(spark, d):
     return selections.trajectory(model.points(spark, d), 4)
 
 
-@query("dedup_ts", f"WITH {P} SELECT seq, tid, ts FROM (SELECT *, lag(ts) OVER (PARTITION BY tid ORDER BY seq) AS b FROM points) WHERE b IS NULL OR b <> ts")
+@query("dedup_ts", f"WITH {P}, h AS (SELECT seq, tid, ts // 43200 AS ts FROM points) SELECT seq, tid, ts FROM (SELECT *, lag(ts) OVER (PARTITION BY tid ORDER BY seq) AS b FROM h) WHERE b IS NULL OR b <> ts")
 def dedup_ts(spark, d):
-    return selections.without_repeated_times(model.points(spark, d)).select("seq", "tid", "ts")
+    """Times of half a day, so that many repeat."""
+    return selections.without_repeated_times(model.points(spark, d).withColumn("ts", F.floor(F.col("ts") / 43200))).select("seq", "tid", "ts")
 
 
 @query("predicates", f"WITH {P} SELECT seq, speed % 2 <> 0 AS odd, speed % 2 = 0 AS even, speed > 0 AS positive, CASE WHEN event_type < 'signup' THEN -1 WHEN event_type > 'signup' THEN 1 ELSE 0 END AS cmp FROM points JOIN (SELECT event_id, event_type FROM events) ON seq = event_id")
@@ -117,12 +119,12 @@ def djb2_key(spark, d):
     return model.catalog(spark, d).select("seq", F.col("file_id").cast("string").alias("file_id"), cat.slot(F.col("file_id"), 120000).cast("long").alias("slot"), "path")
 
 
-_WANT = f"SELECT DISTINCT {djb2_sql('k')} AS file_id, k FROM (SELECT strftime(o_orderdate, '%Y%m%d') || o_custkey AS k FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT '19000101X')"
+_WANT = f"SELECT DISTINCT {djb2_sql('k')} AS file_id, k FROM (SELECT strftime(o_orderdate, '%Y%m%d') || o_custkey AS k FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT '19000101X')"
 
 
 def _wanted(spark, d):
     k = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.col("o_custkey").cast("string"))
-    o = model.table(spark, d, "orders").filter("o_orderkey % 7 = 0").select(k.alias("k"))
+    o = model.table(spark, d, "orders").filter("o_orderkey % 100 = 0").select(k.alias("k"))
     return o.union(spark.createDataFrame([("19000101X",)], "k string")).distinct().withColumn("file_id", cat.djb2(F.col("k")))
 
 
@@ -214,12 +216,17 @@ def segment_meets_box(spark, d):
     return s.filter(F.col("x2").isNotNull() & G.segment_meets_rect(*c, F.lit(116.4), F.lit(39.9), F.lit(116.5), F.lit(40.0))).select("seq")
 
 
-_BB = "b AS (SELECT tid, min(lon) AS min_x, min(lat) AS min_y, max(lon) AS max_x, max(lat) AS max_y FROM points WHERE seq % 97 < 3 GROUP BY tid)"
+_DAY = "tid::BIGINT * 100000 + ts // 86400"
+_BB = f"b AS (SELECT {_DAY} AS tid, min(lon) AS min_x, min(lat) AS min_y, max(lon) AS max_x, max(lat) AS max_y FROM points GROUP BY {_DAY})"
+
+
+def _days(spark, d):
+    """All points; a trajectory is what a moving object does in one day, as in a log file."""
+    return model.points(spark, d).withColumn("tid", F.col("tid").cast("long") * 100000 + F.floor(F.col("ts") / 86400))
 
 
 def _boxes(spark, d):
-    """Boxes of a few points of each trajectory, so that they differ."""
-    return trajectories.bounding_boxes(model.points(spark, d).filter("seq % 97 < 3"))
+    return trajectories.bounding_boxes(_days(spark, d))
 
 
 @query("rectangles", f"""
@@ -296,11 +303,11 @@ def cell_center(spark, d):
     return m.select("cell", F.round("m.lat", 9).alias("lat"), F.round("m.lon", 9).alias("lon"))
 
 
-@query("cell_union", f"WITH {P}, {_CP}, u AS (SELECT DISTINCT {_parent_sql('cell', 7)} AS c FROM cp WHERE seq % 50 = 0) SELECT seq FROM cp JOIN u ON cell BETWEEN c - {(1 << 46) - 1} AND c + {(1 << 46) - 1}")
+@query("cell_union", f"WITH {P}, {_CP}, u AS (SELECT DISTINCT {_parent_sql('cell', 7)} AS c FROM cp WHERE seq % 100 = 0) SELECT seq FROM cp JOIN u ON cell BETWEEN c - {(1 << 46) - 1} AND c + {(1 << 46) - 1}")
 def cell_union(spark, d):
     """GEO-7: points in a union of coarser cells, by their parent (an equi-join) instead of ranges."""
     cp = _cell_points(spark, d)
-    u = cp.filter("seq % 50 = 0").select(C.parent(F.col("cell"), 7).alias("up")).distinct()
+    u = cp.filter("seq % 100 = 0").select(C.parent(F.col("cell"), 7).alias("up")).distinct()
     return cp.withColumn("up", C.parent(F.col("cell"), 7)).join(u, "up", "left_semi").select("seq")
 
 
@@ -428,20 +435,23 @@ def polygon_contains(spark, d):
     return model.points(spark, d).filter(shapes.loop_holds(shapes.loop(_LOOP), F.col("lon"), F.col("lat"))).select("seq")
 
 
-@query("region_cover", f"WITH {P}, cp AS ({C.encode_sql(f'SELECT seq, tid, ts, lon, lat FROM points WHERE {_IN_BOX}', LEVEL)}) SELECT DISTINCT cell, true AS covered FROM cp")
+_RASTER = f"SELECT {BOX[3] - 0.3}::DOUBLE + y * 0.01::DOUBLE AS lat, {BOX[0] - 0.3}::DOUBLE + x * 0.01::DOUBLE AS lon FROM range({round((BOX[2] - BOX[0] + 0.6) * 100)}) a(x), range({round((BOX[1] - BOX[3] + 0.6) * 100)}) b(y)"
+
+
+@query("region_cover", f"""SELECT c AS cell FROM ({C.rect_sql(f"SELECT DISTINCT cell AS c FROM ({C.encode_sql(_RASTER, LEVEL)})", LEVEL, 'c')})
+WHERE min_lon <= {BOX[2]} AND max_lon >= {BOX[0]} AND min_lat - {shapes.bulge(LEVEL)!r}::DOUBLE <= {BOX[1]} AND max_lat + {shapes.bulge(LEVEL)!r}::DOUBLE >= {BOX[3]}""")
 def region_cover(spark, d):
-    """GEO-8: each cell with a point of a region is in the region's covering."""
-    own = index.cell_points(selections.by_space(model.points(spark, d), *BOX), LEVEL).select("cell").distinct()
-    c = shapes.cover(spark, BOX[0], BOX[3], BOX[2], BOX[1], LEVEL).withColumn("covered", F.lit(True))
-    return own.join(c, "cell", "left").select("cell", F.coalesce("covered", F.lit(False)).alias("covered"))
+    """GEO-8: the cells whose rectangle meets a region; SQL finds them by encoding a raster finer than the cells."""
+    return shapes.cover(spark, BOX[0], BOX[3], BOX[2], BOX[1], LEVEL)
 
 
 # -- visits, places, patterns --------------------------------------------------------------------------------------------
 
 _V = f"v AS (SELECT tid, cell, min(ts) AS first_ts FROM cp GROUP BY tid, cell)"
 _PC = f"pc AS (SELECT type, cell, min(seq) AS seq FROM ({C.encode_sql(POI_SQL, LEVEL)}) GROUP BY type, cell)"
-_FEW = "WHERE seq % 4 = 0"  # of the places, so that not every trajectory passes one of each kind
-_PCF = f"pc AS (SELECT type, cell, min(seq) AS seq FROM ({C.encode_sql(f'SELECT * FROM ({POI_SQL}) {_FEW}', LEVEL)}) GROUP BY type, cell)"
+FINE = 13  # of the category queries: cells so small that not every trajectory passes a place of each category
+_CPF = f"cp AS ({C.encode_sql('SELECT seq, tid, ts, lon, lat FROM points', FINE)})"
+_PCF = f"pc AS (SELECT type, cell, min(seq) AS seq FROM ({C.encode_sql(POI_SQL, FINE)}) GROUP BY type, cell)"
 _T = "('BUILDING', 'MACHINERY', 'FURNITURE')"
 _M = f"m AS (SELECT tid, type, arg_min(v.cell, pc.seq) AS cell, arg_min(first_ts, pc.seq) AS first_ts FROM v JOIN pc USING (cell) WHERE type IN {_T} GROUP BY tid, type)"
 SPAN = 1_200_000
@@ -451,8 +461,8 @@ def _visits(spark, d, level=LEVEL):
     return index.visits(_cell_points(spark, d, level))
 
 
-def _places(spark, d, level=LEVEL):
-    return pattern.poi_cells(model.poi(spark, d).filter("seq % 4 = 0"), level)
+def _places(spark, d, level=FINE):
+    return pattern.poi_cells(model.poi(spark, d), level)
 
 
 @query("visits_first_ts", f"WITH {P}, {_CP}, {_V} SELECT * FROM v")
@@ -492,119 +502,92 @@ def poi_types(spark, d):
     return pattern.places_by_type(model.poi(spark, d))
 
 
-@query("poi_search", f"WITH {P}, {_CP}, {_V}, {_PCF}, {_M} SELECT tid, count(*) AS n_types, max(first_ts) - min(first_ts) AS span FROM m GROUP BY tid HAVING count(*) = 3 AND max(first_ts) - min(first_ts) < {SPAN}")
+@query("poi_search", f"WITH {P}, {_CPF}, {_V}, {_PCF}, {_M} SELECT tid, count(*) AS n_types, max(first_ts) - min(first_ts) AS span FROM m GROUP BY tid HAVING count(*) = 3 AND max(first_ts) - min(first_ts) < {SPAN}")
 def poi_search(spark, d):
-    return pattern.poi_search(_visits(spark, d), _places(spark, d), TYPES, [0, SPAN])
+    return pattern.poi_search(_visits(spark, d, FINE), _places(spark, d), TYPES, [0, SPAN])
 
 
-@query("poi_search_legacy", f"WITH {P}, {_CP}, {_V}, {_PCF}, {_M} SELECT tid, count(*) AS n_types, max(first_ts) - min(first_ts) AS span FROM m GROUP BY tid HAVING max(first_ts) - min(first_ts) < {SPAN}")
+@query("poi_search_legacy", f"WITH {P}, {_CPF}, {_V}, {_PCF}, {_M} SELECT tid, count(*) AS n_types, max(first_ts) - min(first_ts) AS span FROM m GROUP BY tid HAVING max(first_ts) - min(first_ts) < {SPAN}")
 def poi_search_legacy(spark, d):
-    return pattern.poi_search(_visits(spark, d), _places(spark, d), TYPES, [0, SPAN], require_all=False)
+    return pattern.poi_search(_visits(spark, d, FINE), _places(spark, d), TYPES, [0, SPAN], require_all=False)
 
 
-@query("category_filter", f"WITH {P}, {_CP}, {_V}, {_PCF}, {_M} SELECT * FROM m WHERE tid IN (SELECT tid FROM m GROUP BY tid HAVING count(*) = 3)")
+@query("category_filter", f"WITH {P}, {_CPF}, {_V}, {_PCF}, {_M} SELECT * FROM m WHERE tid IN (SELECT tid FROM m GROUP BY tid HAVING count(*) = 3)")
 def category_filter(spark, d):
-    return pattern.category_filter(_visits(spark, d), _places(spark, d), TYPES)
+    return pattern.category_filter(_visits(spark, d, FINE), _places(spark, d), TYPES)
 
 
 def _count_sql(n: str) -> str:
-    return f"WITH {P}, {_CP}, {_PCF} SELECT tid, {n} AS n FROM cp JOIN pc USING (cell) WHERE type IN {_T} AND ts > {T0} AND ts < {T1} GROUP BY tid HAVING {n} >= 3"
+    return f"WITH {P}, {_CPF}, {_PCF} SELECT tid, {n} AS n FROM cp JOIN pc USING (cell) WHERE type IN {_T} AND ts > {T0} AND ts < {T1} GROUP BY tid HAVING {n} >= 3"
 
 
 @query("category_count", _count_sql("count(DISTINCT type)"))
 def category_count(spark, d):
-    return pattern.category_count(_cell_points(spark, d), _places(spark, d), TYPES, T0, T1)
+    return pattern.category_count(_cell_points(spark, d, FINE), _places(spark, d), TYPES, T0, T1)
 
 
 @query("category_count_legacy", _count_sql("count(*)"))
 def category_count_legacy(spark, d):
-    return pattern.category_count(_cell_points(spark, d), _places(spark, d), TYPES, T0, T1, legacy=True)
-
-
-# The same over all places; those above take every fourth.
-
-
-def _all_places(spark, d):
-    return pattern.poi_cells(model.poi(spark, d), LEVEL)
-
-
-@query("poi_search_all", f"WITH {P}, {_CP}, {_V}, {_PC}, {_M} SELECT tid, count(*) AS n_types, max(first_ts) - min(first_ts) AS span FROM m GROUP BY tid HAVING count(*) = 3 AND max(first_ts) - min(first_ts) < {SPAN}")
-def poi_search_all(spark, d):
-    return pattern.poi_search(_visits(spark, d), _all_places(spark, d), TYPES, [0, SPAN])
+    return pattern.category_count(_cell_points(spark, d, FINE), _places(spark, d), TYPES, T0, T1, legacy=True)
 
 
-@query("poi_search_legacy_all", f"WITH {P}, {_CP}, {_V}, {_PC}, {_M} SELECT tid, count(*) AS n_types, max(first_ts) - min(first_ts) AS span FROM m GROUP BY tid HAVING max(first_ts) - min(first_ts) < {SPAN}")
-def poi_search_legacy_all(spark, d):
-    return pattern.poi_search(_visits(spark, d), _all_places(spark, d), TYPES, [0, SPAN], require_all=False)
+@query("visiting", f"WITH {P}, {_CPF}, {_V}, {_PCF} SELECT tid, cell, first_ts FROM v WHERE cell IN (SELECT cell FROM pc WHERE type = 'BUILDING')")
+def visiting(spark, d):
+    """SEL-13, JN-4."""
+    return selections.visiting(_visits(spark, d, FINE), pattern.cells_of_type(_places(spark, d), "BUILDING"))
 
 
-@query("category_filter_all", f"WITH {P}, {_CP}, {_V}, {_PC}, {_M} SELECT * FROM m WHERE tid IN (SELECT tid FROM m GROUP BY tid HAVING count(*) = 3)")
-def category_filter_all(spark, d):
-    return pattern.category_filter(_visits(spark, d), _all_places(spark, d), TYPES)
+@query("bitmap_visits", f"WITH {P}, {_CPF}, {_V}, {_PCF} SELECT tid, count(*) AS n_cells, min(first_ts) AS first_ts FROM v WHERE first_ts BETWEEN {T0} AND {T1} AND cell IN (SELECT cell FROM pc WHERE type = 'MACHINERY') GROUP BY tid")
+def bitmap_visits(spark, d):
+    """QRY-15."""
+    return index.bitmap_visits(_visits(spark, d, FINE), pattern.cells_of_type(_places(spark, d), "MACHINERY"), T0, T1)
 
 
-def _count_all_sql(n: str) -> str:
-    return f"WITH {P}, {_CP}, {_PC} SELECT tid, {n} AS n FROM cp JOIN pc USING (cell) WHERE type IN {_T} AND ts > {T0} AND ts < {T1} GROUP BY tid HAVING {n} >= 3"
-
-
-@query("category_count_all", _count_all_sql("count(DISTINCT type)"))
-def category_count_all(spark, d):
-    return pattern.category_count(_cell_points(spark, d), _all_places(spark, d), TYPES, T0, T1)
-
-
-@query("category_count_legacy_all", _count_all_sql("count(*)"))
-def category_count_legacy_all(spark, d):
-    return pattern.category_count(_cell_points(spark, d), _all_places(spark, d), TYPES, T0, T1, legacy=True)
-
-
-_CP8 = f"cp AS ({C.encode_sql('SELECT seq, tid, ts, lon, lat FROM points', COARSE)})"
-_PC8 = f"pc AS (SELECT type, cell, c_lat, c_lon FROM ({C.center_sql(f'SELECT DISTINCT type, cell FROM ({C.encode_sql(POI_SQL, COARSE)})', COARSE)}))"
-_LONGEST = 60000.0
+_LONGEST, _WITHIN = 6000.0, 60_000
+_CENTRES = f"""pk AS (SELECT type, cell, c_lat, c_lon FROM ({C.center_sql('SELECT DISTINCT type, cell FROM pc', LEVEL)})),
+ord AS (SELECT type, row_number() OVER (ORDER BY count(*), type) AS k FROM pk WHERE type IN {_T} GROUP BY type)"""
 _DIST = lambda a, b: f"2 * 6378137.0 * asin(sqrt(power(sin(radians({b}.c_lat - {a}.c_lat) / 2), 2) + cos(radians({a}.c_lat)) * cos(radians({b}.c_lat)) * power(sin(radians({b}.c_lon - {a}.c_lon) / 2), 2)))"
-_PATHS = f"""paths AS (SELECT [a.cell, b.cell, c.cell] AS cells, {_DIST('a', 'b')} + {_DIST('b', 'c')} AS distance
-  FROM (SELECT * FROM pc WHERE type = 'BUILDING') a JOIN (SELECT * FROM pc WHERE type = 'FURNITURE') b ON {_DIST('a', 'b')} < {_LONGEST}
-  JOIN (SELECT * FROM pc WHERE type = 'MACHINERY') c ON {_DIST('a', 'b')} + {_DIST('b', 'c')} < {_LONGEST})"""
-_ORDERED = ("BUILDING", "FURNITURE", "MACHINERY")
+_OF = lambda k: f"(SELECT * FROM pk WHERE type = (SELECT type FROM ord WHERE k = {k}))"
+_PATHS = f"""two AS (SELECT a.cell AS a, b.cell AS b, b.c_lat, b.c_lon, {_DIST('a', 'b')} AS d FROM {_OF(1)} a JOIN {_OF(2)} b ON {_DIST('a', 'b')} < {_LONGEST}),
+paths AS (SELECT [two.a, two.b, c.cell] AS cells, d + {_DIST('two', 'c')} AS distance FROM two JOIN {_OF(3)} c ON d + {_DIST('two', 'c')} < {_LONGEST})"""
 
 
-def _coarse_places(spark, d):
-    return pattern.poi_cells(model.poi(spark, d), COARSE)
+def _paths(spark, d):
+    cells = pattern.poi_cells(model.poi(spark, d), LEVEL)
+    return pattern.expand_paths(cells, by_selectivity(cells, TYPES), LEVEL, _LONGEST)
 
 
-@query("path_expand", f"WITH {_PC8}, {_PATHS} SELECT array_to_string(cells, '-') AS path, round(distance, 2) AS distance FROM paths")
+@query("path_expand", f"WITH {_PC}, {_CENTRES}, {_PATHS} SELECT array_to_string(cells, '-') AS path, round(distance, 2) AS distance FROM paths")
 def path_expand(spark, d):
-    p = pattern.expand_paths(_coarse_places(spark, d), _ORDERED, COARSE, _LONGEST)
-    return p.select(F.array_join("cells", "-").alias("path"), F.round("distance", 2).alias("distance"))
+    return _paths(spark, d).select(F.array_join("cells", "-").alias("path"), F.round("distance", 2).alias("distance"))
 
 
 _COVER = f"""each AS (SELECT array_to_string(cells, '-') AS path, len(list_distinct(cells)) AS want, unnest(list_distinct(cells)) AS cell FROM paths),
-v AS (SELECT tid, cell, min(ts) AS first_ts FROM cp WHERE seq % 5 = 0 GROUP BY tid, cell),
 g AS (SELECT path, tid, max(first_ts) - min(first_ts) AS interval FROM v JOIN each USING (cell) GROUP BY path, tid, want HAVING count(*) = want)"""
 
 
-def _sparse_visits(spark, d):
-    return index.visits(_cell_points(spark, d, COARSE).filter("seq % 5 = 0"))
-
-
-@query("cover_all_cells", f"WITH {P}, {_CP8}, {_PC8}, {_PATHS}, {_COVER} SELECT * FROM g")
+@query("cover_all_cells", f"WITH {P}, {_CP}, {_V}, {_PC}, {_CENTRES}, {_PATHS}, {_COVER} SELECT * FROM g")
 def cover_all_cells(spark, d):
-    paths = pattern.expand_paths(_coarse_places(spark, d), _ORDERED, COARSE, _LONGEST).select(F.array_join("cells", "-").alias("path"), "cells")
-    return pattern.covering(_sparse_visits(spark, d), paths)
+    return pattern.covering(_visits(spark, d), _paths(spark, d).select(F.array_join("cells", "-").alias("path"), "cells"))
 
 
-@query("time_filter", f"WITH {P}, {_CP8}, {_PC8}, {_PATHS}, {_COVER} SELECT DISTINCT tid FROM g WHERE interval < 60000")
+@query("time_filter", f"WITH {P}, {_CP}, {_V}, {_PC}, {_CENTRES}, {_PATHS}, {_COVER} SELECT DISTINCT tid FROM g WHERE interval < {_WITHIN}")
 def time_filter(spark, d):
-    return pattern.time_filter(_sparse_visits(spark, d), _coarse_places(spark, d), _ORDERED, [0, 60000], 1.0, COARSE)
+    return pattern.time_filter(_visits(spark, d), pattern.poi_cells(model.poi(spark, d), LEVEL), TYPES, [0, _WITHIN], _LONGEST / _WITHIN, LEVEL)
+
 
+_STARTS = "m AS (SELECT tid AS m, min(ts) + 600000 AS latest FROM points GROUP BY tid)"
 
-@query("time_chain", f"""WITH {P}, m AS (SELECT tid AS m, min(ts) AS latest FROM points WHERE seq < 50 GROUP BY tid), q AS (SELECT seq AS pos, dir::BIGINT AS cell, ts FROM points WHERE seq BETWEEN 50 AND 110),
-j AS (SELECT *, list(cell) FILTER (WHERE ts <= latest) OVER (PARTITION BY m ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM m, q)
+
+@query("time_chain", f"""WITH {P}, {_STARTS}, j AS (SELECT m, latest, seq AS pos, dir::BIGINT AS cell, ts,
+  list(dir::BIGINT) FILTER (WHERE ts <= latest) OVER (PARTITION BY m ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM m JOIN points ON tid = m)
 SELECT m, pos, array_to_string(list_concat(list_concat([m::BIGINT], coalesce(seen, [])), [cell]), '-') AS cells, ts AS latest, ts - latest AS interval FROM j WHERE ts > latest AND ts - latest < 500000""")
 def time_chain(spark, d):
+    """Each trajectory's points against a measure of its own, which ends 600,000 s behind its first point."""
     p = model.points(spark, d)
-    m = p.filter("seq < 50").groupBy(F.col("tid").alias("m")).agg(F.min("ts").alias("latest")).select("m", F.array(F.col("m").cast("long")).alias("cells"), "latest", F.lit(0).cast("long").alias("interval"))
-    q = p.filter("seq BETWEEN 50 AND 110").select(F.col("seq").alias("pos"), F.col("dir").cast("long").alias("cell"), "ts")
-    return pattern.chain(m, q, 500000).withColumn("cells", F.array_join("cells", "-"))
+    m = p.groupBy("tid").agg((F.min("ts") + 600000).alias("latest")).select("tid", F.col("tid").alias("m"), F.array(F.col("tid").cast("long")).alias("cells"), "latest", F.lit(0).cast("long").alias("interval"))
+    q = p.select("tid", F.col("seq").alias("pos"), F.col("dir").cast("long").alias("cell"), "ts")
+    return pattern.chain(m, q, 500000, key="tid").withColumn("cells", F.array_join("cells", "-"))
 
 
 # -- trees ---------------------------------------------------------------------------------------------------------------
@@ -635,20 +618,20 @@ def rtree_levels(spark, d):
     return index.tree(_tree_points(spark, d))
 
 
-_RECTS = f"rects AS (SELECT seq AS rect, cell - {40 * _LSB} AS min_x, cell + {40 * _LSB} AS max_x, ts - 50000 AS min_y, ts + 50000 AS max_y FROM cp WHERE seq % 250 = 0)"
+_RECTS = f"rects AS (SELECT seq AS rect, cell - {40 * _LSB} AS min_x, cell + {40 * _LSB} AS max_x, ts - 50000 AS min_y, ts + 50000 AS max_y FROM cp WHERE seq % 100 = 0)"
 
 
 @query("rtree_search", f"WITH {P}, {_CP}, {_RECTS} SELECT rect, seq AS id FROM cp JOIN rects ON cell > min_x AND cell < max_x AND ts > min_y AND ts < max_y")
 def rtree_search(spark, d):
     c = _cell_points(spark, d)
-    rects = c.filter("seq % 250 = 0").select(F.col("seq").alias("rect"), (F.col("cell") - 40 * _LSB).alias("min_x"), (F.col("cell") + 40 * _LSB).alias("max_x"), (F.col("ts") - 50000).alias("min_y"), (F.col("ts") + 50000).alias("max_y"))
+    rects = c.filter("seq % 100 = 0").select(F.col("seq").alias("rect"), (F.col("cell") - 40 * _LSB).alias("min_x"), (F.col("cell") + 40 * _LSB).alias("max_x"), (F.col("ts") - 50000).alias("min_y"), (F.col("ts") + 50000).alias("max_y"))
     return index.search(_tree_points(spark, d), rects)
 
 
-@query("cells_near", f"WITH {P}, {_CP}, c AS (SELECT DISTINCT cell AS c FROM cp WHERE seq % 400 = 0) SELECT DISTINCT tid FROM cp JOIN c ON cell BETWEEN c - 10000000000 AND c + 10000000000 WHERE ts BETWEEN {T0} AND {T1}")
+@query("cells_near", f"WITH {P}, {_CP}, c AS (SELECT DISTINCT cell AS c FROM cp WHERE seq % 100 = 0) SELECT DISTINCT tid FROM cp JOIN c ON cell BETWEEN c - 10000000000 AND c + 10000000000 WHERE ts BETWEEN {T0} AND {T1}")
 def cells_near(spark, d):
     c = _cell_points(spark, d)
-    return index.cells_near(c, c.filter("seq % 400 = 0"), T0, T1, 10_000_000_000)
+    return index.cells_near(c, c.filter("seq % 100 = 0"), T0, T1, 10_000_000_000)
 
 
 @query("packed_boxes", f"WITH {P}, {_BB} SELECT tid, (row_number() OVER (ORDER BY min_x DESC, tid) - 1) // 4 AS node FROM b")
@@ -701,8 +684,8 @@ def heatmap_counts(spark, d):
     return grid.heat_map(model.points(spark, d), *_EDGE)
 
 
-_CL = f"cl AS (SELECT seq AS id, lon AS x, lat AS y FROM ({POI_SQL}) WHERE type = 'BUILDING')"
-_EPS, _MINPTS = 0.02, 3
+_CL = f"""points AS ({POINTS_SQL}), cl AS (SELECT seq AS id, lon AS x, lat AS y FROM (SELECT *, lag(state) OVER (PARTITION BY tid ORDER BY ts, seq) AS b FROM points) WHERE b <> state)"""
+_EPS, _MINPTS = 0.0125, 4
 _DB = f"""{_CL}, near AS (SELECT a.id AS a, b.id AS b FROM cl a JOIN cl b ON a.id <> b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {_EPS}),
 core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {_MINPTS}), link AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
 reach AS (SELECT id, id AS other FROM core UNION SELECT reach.id, link.b FROM reach JOIN link ON reach.other = link.a),
@@ -711,23 +694,24 @@ border AS (SELECT a AS id, min(cluster) AS cluster FROM near JOIN num ON num.id
 labels_ AS (SELECT cl.id, coalesce(num.cluster, border.cluster, -2) AS cluster FROM cl LEFT JOIN num USING (id) LEFT JOIN border USING (id))"""
 
 
-def _places_xy(spark, d):
-    return model.poi(spark, d).filter("type = 'BUILDING'").select(F.col("seq").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+def _ends(spark, d):
+    """All pick-ups and drop-offs."""
+    return trajectories.end_points(model.points(spark, d)).select(F.col("seq").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
 
 
 @query("neighbor_pairs", f"WITH {_CL} SELECT a.id AS a, b.id AS b FROM cl a JOIN cl b ON a.id < b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {_EPS}")
 def neighbor_pairs(spark, d):
-    return grid.neighbors(_places_xy(spark, d), _EPS)
+    return grid.neighbors(_ends(spark, d), _EPS)
 
 
 @query("dbscan_labels", f"WITH RECURSIVE {_DB} SELECT * FROM labels_")
 def dbscan_labels(spark, d):
-    return grid.dbscan(_places_xy(spark, d), _EPS, _MINPTS)
+    return grid.dbscan(_ends(spark, d), _EPS, _MINPTS)
 
 
 @query("cluster_centers", f"WITH RECURSIVE {_DB} SELECT cluster, round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n FROM cl JOIN labels_ USING (id) WHERE cluster >= 0 GROUP BY cluster")
 def cluster_centers(spark, d):
-    p = _places_xy(spark, d)
+    p = _ends(spark, d)
     c = grid.cluster_centers(p, grid.dbscan(p, _EPS, _MINPTS))
     return c.select("cluster", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "n")
 
@@ -756,11 +740,11 @@ def json_export(spark, d):
 
 # -- set algebra ---------------------------------------------------------------------------------------------------------
 
-_SETS = f"""s AS (SELECT tid, list_sort(list(DISTINCT speed::BIGINT)) AS a, list_sort(list(DISTINCT (seq % 100)::BIGINT)) AS b FROM points WHERE seq % 3 = 0 GROUP BY tid)"""
+_SETS = f"""s AS (SELECT tid, list_sort(list(DISTINCT speed::BIGINT)) AS a, list_sort(list(DISTINCT (seq % 100)::BIGINT)) AS b FROM points GROUP BY tid)"""
 
 
 def _sets(spark, d):
-    p = model.points(spark, d).filter("seq % 3 = 0")
+    p = model.points(spark, d)
     return p.groupBy("tid").agg(B.of(F.collect_set(F.col("speed").cast("long"))).alias("a"), B.of(F.collect_set(F.col("seq") % 100)).alias("b"))
 
 
@@ -785,15 +769,14 @@ _bitmap("contains", "list_contains(a, 50)", lambda a, b: B.contains(a, F.lit(50)
 _bitmap("add_remove", "list_sort(list_distinct(list_append(list_filter(a, lambda e: e <> 7), 1000)))", lambda a, b: B.add(B.remove(a, F.lit(7).cast("long")), F.lit(1000).cast("long")))
 
 
-@query("set_intersect_all", f"WITH {P} SELECT speed FROM points WHERE seq % 2 = 0 INTERSECT ALL SELECT dir FROM points WHERE seq % 3 = 0")
+@query("set_intersect_all", f"WITH {P} SELECT speed FROM points INTERSECT ALL SELECT dir FROM points")
 def set_intersect_all(spark, d):
     """SET-2, PRM-13: as often as on the side with fewer."""
     p = model.points(spark, d)
-    return p.filter("seq % 2 = 0").select("speed").intersectAll(p.filter("seq % 3 = 0").select("dir"))
+    return p.select("speed").intersectAll(p.select("dir"))
 
 
-@query("append_union", f"WITH {P} SELECT seq, tid FROM points WHERE seq % 2 = 0 UNION ALL SELECT seq, tid FROM points WHERE seq % 3 = 0")
+@query("append_union", "SELECT o_orderkey AS k FROM orders UNION ALL SELECT l_orderkey AS k FROM lineitem")
 def append_union(spark, d):
     """SET-4: a bag."""
-    p = model.points(spark, d).select("seq", "tid")
-    return p.filter("seq % 2 = 0").unionByName(p.filter("seq % 3 = 0"))
+    return model.table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).unionByName(model.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")))

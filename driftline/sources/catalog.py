@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from ..model import CATALOG
 
-_MOD = "18446744073709551616"
+_LOW = 0xFFFFFFFF
 
 
 def djb2(text: Column) -> Column:
-    """CAT-1: h = 33 h + code from 5381, modulo 2^64, as decimal(20,0)."""
-    big = F.lit(_MOD).cast("decimal(38,0)")
-    start = F.lit(5381).cast("decimal(38,0)")
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    return F.aggregate(codes, start, lambda h, c: ((h * F.lit(33).cast("decimal(3,0)") + c.cast("decimal(10,0)")) % big).cast("decimal(38,0)")).cast("decimal(20,0)")
+    """CAT-1: h = 33 h + code from 5381, modulo 2^64, as decimal(20,0); two halves of 32 bits, so that nothing overflows a long."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(5381).cast("long").alias("l"))
+
+    def step(s: Column, c: Column) -> Column:
+        low = s["l"] * 33 + c
+        return F.struct((s["h"] * 33 + F.shiftright(low, 32)).bitwiseAND(F.lit(_LOW)).alias("h"), low.bitwiseAND(F.lit(_LOW)).alias("l"))
+
+    whole = lambda s: (s["h"].cast("decimal(10,0)") * F.lit(2**32).cast("decimal(10,0)") + s["l"].cast("decimal(10,0)")).cast("decimal(20,0)")
+    return F.aggregate(codes, start, step, whole)
 
 
 def file_key(date: Column, tid: Column) -> Column:

@@ -15,6 +15,7 @@ from driftline import model
 from driftline.functions import bitmaps as B
 from driftline.functions import cells as C
 from driftline.functions import geometry as G
+from driftline.functions import shapes
 from driftline.functions import text as X
 from driftline.operators import grid, index, pattern, selections, trajectories
 from driftline.plans import graph, strategy
@@ -131,7 +132,7 @@ def test_search_equals_full_scan(spark):
     rect = spark.createDataFrame([(0, int(x0), int(x1), int(y0), int(y1))], "rect int, min_x long, max_x long, min_y long, max_y long")
     want = {r.id for r in pts.filter(F.col("x").between(int(x0) + 1, int(x1) - 1) & F.col("y").between(int(y0) + 1, int(y1) - 1)).collect()}
     assert want and {r.id for r in index.search(pts, rect).collect()} == want
-    r = strategy.ranked(pts, "x", [F.col("y"), F.col("id")])
+    r = strategy.ranked(pts, [F.col("x"), F.col("y"), F.col("id")])
     ranks = r.orderBy("x", "y", "id").select("rn").collect()
     assert [x.rn for x in ranks] == list(range(1, pts.count() + 1))
 
@@ -248,3 +249,37 @@ def test_cell_union_is_normalised(spark):
     kids = [top + d * bit for d in (-3, -1, 1, 3)]
     c = spark.createDataFrame([(k,) for k in [*kids, kids[0] + bit // 4, 3769449391312601088, 3769449391312601088]], "cell long")
     assert sorted(r.cell for r in S.normalised(c).collect()) == sorted([top, 3769449391312601088])
+
+
+def test_ranks_split_equal_keys_and_stay_out_of_lambdas(spark):
+    """A first key that all rows share is ranked by the rest, over several partitions; the cell is not computed again in any lambda."""
+    d = spark.range(1000, numPartitions=5).select(F.lit(7).alias("x"), (F.col("id") * 37 % 1000).alias("y"))
+    r = strategy.ranked(d, [F.col("x"), F.col("y")])
+    assert {(v.y, v.rn) for v in r.collect()} == {(k, k + 1) for k in range(1000)}
+    assert r.select(F.spark_partition_id()).distinct().count() > 1
+    plan = index.leaves(index.cell_points(model.points(spark, DATA), 11).selectExpr("cell x", "ts y", "seq id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "Window" not in plan
+    assert "Window" not in index.point_quadtree(spark.range(9).selectExpr("id", "id / 9D x", "id / 9D y"), 2, 1)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_by_table_equal_cells_by_fold(spark):
+    rng = np.random.default_rng(9)
+    d = spark.createDataFrame([(float(a), float(b)) for a, b in zip(rng.uniform(-90, 90, 500), rng.uniform(-180, 180, 500))], "lat double, lon double")
+    for level in (1, 5, 16, 30):
+        assert C.with_cell(d, level).filter(F.col("cell") != C.encode(F.col("lat"), F.col("lon"), level)).isEmpty()
+
+
+def test_coverings_and_unions(spark):
+    """An interior covering lies in the covering; unions normalise to the top; intersection and difference part a union."""
+    out, inner = (shapes.cover(spark, 116.0, 39.5, 116.5, 40.0, 9, inside=i) for i in (False, True))
+    cells, within = ({r.cell for r in d.collect()} for d in (out, inner))
+    assert within and within < cells
+    whole = spark.createDataFrame([(C_FACE,)], "cell long")
+    kids = whole.select(F.explode(F.sequence(C.child_begin(F.col("cell"), 3), C.child_end(F.col("cell"), 3) - 1, F.lit(2 << 54))).alias("cell"))
+    assert kids.count() == 64 and [r.cell for r in shapes.normalised(kids.union(whole)).collect()] == [C_FACE] == [r.cell for r in shapes.normalised(kids).collect()]
+    some = kids.filter("cell % 3 = 0")
+    both, rest = shapes.union_intersection(whole, some), shapes.union_difference(whole, some, 3)
+    assert both.count() == some.count() and both.count() + rest.count() == 64 and both.join(rest, "cell").isEmpty()
+
+
+C_FACE = (1 << 61) | (1 << 60)

@@ -12,9 +12,9 @@ from .conftest import DATA
 
 def test_flagship_meets_every_place(spark):
     visits = {}
-    for r in index.visits(index.cell_points(model.points(spark, DATA), queries.LEVEL)).collect():
+    for r in index.visits(index.cell_points(model.points(spark, DATA), queries.FINE)).collect():
         visits.setdefault(r.tid, {})[r.cell] = r.first_ts
-    places = index.with_cells(model.poi(spark, DATA).filter(F.col("type").isin(*queries.TYPES)), queries.LEVEL).orderBy("seq").collect()
+    places = index.with_cells(model.poi(spark, DATA).filter(F.col("type").isin(*queries.TYPES)), queries.FINE).orderBy("seq").collect()
     want = {}
     for tid, seen in visits.items():
         first = {}
@@ -24,5 +24,4 @@ def test_flagship_meets_every_place(spark):
         if len(first) == 3 and max(first.values()) - min(first.values()) < queries.SPAN:
             want[tid] = max(first.values()) - min(first.values())
     assert {r.tid: r.span for r in queries.flagship(spark, DATA).collect()} == want
-    few = {r.tid: r.span for r in queries.QUERIES["poi_search"](spark, DATA).collect()}
-    assert want and want != few
+    assert want and len(want) < len(visits)
