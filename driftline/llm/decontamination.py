@@ -5,79 +5,108 @@ Every window of ``WINDOW`` template words of every whole text meets the windows
 its slots are consistent, which is to say that equal values stand in equal slots and different values in different ones on both
 sides. A benchmark item shorter than a window is one window of its own length, down to ``SHORTEST`` words.
 
-Each window is compared in three forms, and a document holds an item if any of them matches: with names inside sentences as slots;
-with every capitalised word as a name, so that names which start a sentence are slots too; and word by word without slots, so that
-verbatim copies match wherever they stand and however few literal words they have. The windows reported are those of the first form
-that matches.
-
-A number starts with a digit; a unit is a word of UNITS behind a number; a name is a word with one capital first letter inside a
-sentence. Words are compared in lower case without punctuation.
-
-Defined results: null, empty and short texts match nothing; items without text or with fewer than SHORTEST words, and windows
-with fewer than ``LITERAL`` words besides placeholders, match only word by word; equal items are all reported; repeated and null doc_ids are
-reported like any other, once for each doc_id and item; empty tables give an empty result; extra columns are ignored or, in
-``without_leaks``, kept.
+Each text is compared in three forms, and a document holds an item if any of them matches:
+
+0. names are runs of capitalised words inside sentences ("New York" is one slot, so is "NASA"),
+1. the same with words that start a sentence as names too,
+2. word by word without slots, so that verbatim copies match wherever they stand and however few literal words they have.
+
+The windows reported are those of the first form that matches, counted in that form's words.
+
+A number starts with a digit. A unit is a word of ``UNITS`` behind a number, written apart or not, or a sign at either side of
+it; units that differ in spelling only have one value. Words are compared in lower case without punctuation.
+
+Only a document that holds an anchor is put into forms: each window of the benchmark has one, a pair of adjacent words, and a document
+without the pair cannot hold the window. Anchors and window hashes are tested against bitmaps of a fixed largest size, so what goes
+out with the plan is bounded however large the benchmark is, and only windows that pass are rows.
+
+Defined results: null, empty and short texts match nothing; items without text or with fewer than SHORTEST words match nothing; windows
+with fewer than ``LITERAL`` words besides placeholders match only word by word; equal items are all reported; repeated and null
+doc_ids are reported like any other, once for each doc_id and item; ties don't arise, as rows are keyed by doc_id and item; very
+long texts are compared whole; empty tables give an empty result; extra columns are ignored or, in ``without_leaks``, kept.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import packed
+from ..plans.strategy import small
+from .runtime import materialise, packed, partitions
 
 WINDOW, SHORTEST, LITERAL = 12, 5, 5
-#: Windows of the benchmark up to this number are broadcast (24 bytes each and their slots); more are joined by shuffle.
-BROADCAST_WINDOWS = 200_000
-UNITS = (
-    "mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "g", "kg", "mg", "lb", "pounds", "ounces",
-    "tons", "ml", "l", "liters", "litres", "gallons", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months",
-    "years", "dollars", "cents", "euros", "usd", "eur", "percent", "degrees", "mph", "kmh", "volts", "watts", "joules", "newtons",
-)
-#: Placeholders, from the private use area, and the mark between the digits of one number.
-NAME, NUMBER, UNIT, JOINT = "\ue001", "\ue002", "\ue003", "\ue004"
-#: Before a capitalised word that NAMES leaves out: first in its text or sentence, or behind a quote or bracket.
-INITIAL = "\ue005"
-#: Whole-text substitutions, in order, without look-around, so that SQL engines can share them. Names come before lower-casing.
-NAMES = (r"([\p{L}\p{N},;] )(\p{Lu}\p{Ll})", NAME)
-NUMBERS = (
-    (r"([0-9])[.,:]([0-9])", ("", JOINT, "")),
-    (rf"(^|[^\p{{L}}\p{{N}}{NAME}{JOINT}])([0-9])", ("", NUMBER, "")),
-)
-UNIT_RE = rf"({NUMBER}[\p{{N}}{JOINT}]+[^\p{{L}}\p{{N}}]* )({'|'.join(UNITS)})($|[^\p{{L}}\p{{N}}])"
-REST = rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{JOINT}]+"
-INITIALS = rf"(^|[^\p{{L}}\p{{M}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}})"
-UNIT_OR_INITIAL_RE = UNIT_RE.replace("]* )(", f"]* {INITIAL}?)(")
-REST_OR_INITIAL = REST.replace(f"{NAME}-{JOINT}", f"{NAME}-{INITIAL}")
-
-
-def slotted(text: Column) -> Column:
-    """Lower-case words one space apart, without punctuation; a word that fills a slot has its placeholder in front, and one that
-    fills it only if names may start a sentence has INITIAL before that."""
-    t = F.coalesce(text, F.lit(""))
-    named = F.when(t.rlike(NAMES[0]), F.regexp_replace(t, NAMES[0], f"$1{NAME}$2")).otherwise(t)
-    low = F.lower(F.regexp_replace(named, INITIALS, f"$1{INITIAL}$2"))
-    numbered = low
-    for regex, (_, mark, _) in NUMBERS:
-        numbered = F.regexp_replace(numbered, regex, f"$1{mark}$2")
-    numbered = F.when(low.rlike("[0-9]"), F.regexp_replace(numbered, UNIT_OR_INITIAL_RE, f"$1{UNIT}$2$3")).otherwise(low)
-    return F.trim(F.regexp_replace(numbered, REST_OR_INITIAL, " "))
-
-
-def forms(slotted_words: Column) -> list[Column]:
-    """Names inside sentences as slots; capitalised words wherever they stand; no slots. Words stand at equal places in all."""
-    bare = F.translate(slotted_words, INITIAL, "")
-    initial = F.translate(F.replace(slotted_words, F.lit(INITIAL + UNIT), F.lit(UNIT)), INITIAL, NAME)
-    return [bare, initial, F.translate(bare, NAME + NUMBER + UNIT, "")]
-
-
-def template(slotted_words: Column) -> Column:
-    any_slot = slotted_words.rlike(f"[{NAME}-{UNIT}]")
-    return F.when(any_slot, F.regexp_replace(slotted_words, f"([{NAME}-{UNIT}])[^ ]*", "$1")).otherwise(slotted_words)
-
-
-def slots(window: Column) -> Column:
-    return F.filter(window, lambda w: (w >= NAME) & (w < JOINT))
+FORMS = 3
+#: Bits of a bitmap: so many for each entry, between these powers of two. The largest is 2 MB and comes to the driver once.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 16, 24
+#: Spellings of each unit; a plural s is understood.
+UNITS = {
+    "millimeter": "mm millimetre", "centimeter": "cm centimetre", "meter": "m metre", "kilometer": "km kilometre", "inch": "inches", "foot": "ft feet",
+    "yard": "yd", "mile": "mi", "milligram": "mg", "gram": "g gramme", "kilogram": "kg kilo", "pound": "lb lbs", "ounce": "oz", "ton": "tonne",
+    "milliliter": "ml millilitre", "liter": "l litre", "gallon": "gal", "cup": "", "pint": "", "quart": "", "second": "s sec", "minute": "min", "hour": "h hr", "day": "",
+    "week": "", "month": "", "year": "yr", "decade": "", "dollar": "usd buck", "cent": "", "euro": "eur", "sterling": "gbp", "yen": "jpy", "rupee": "inr",
+    "percent": "pct", "degree": "", "mph": "", "kmh": "kph", "volt": "v", "watt": "w", "kilowatt": "kw", "joule": "j", "newton": "n", "hertz": "hz", "byte": "",
+    "kilobyte": "kb", "megabyte": "mb", "gigabyte": "gb", "piece": "", "dozen": "", "time": "", "page": "", "point": "", "person": "people",
+}
+SIGNS = {"$": "dollar", "€": "euro", "£": "sterling", "¥": "yen", "₹": "rupee", "%": "percent", "°": "degree"}
+CANONICAL = {spelling: unit for unit, more in UNITS.items() for s in (unit, *more.split()) for spelling in (s, s + "s")} | {"feet": "foot", "inches": "inch"}
+#: Placeholders, from the private use area; the mark between the digits of one number; the mark between the words of one name.
+NAME, NUMBER, UNIT, JOINT, TIE = "\ue001", "\ue002", "\ue003", "\ue004", "\ue006"
+MARKS = NAME + NUMBER + UNIT + JOINT + TIE
+_W, _NOT_W = r"[\p{L}\p{M}\p{N}]", rf"[^\p{{L}}\p{{M}}\p{{N}}{MARKS}]"
+_UNITS = "|".join(sorted(CANONICAL, key=lambda u: (-len(u), u)))
+#: Whole-text substitutions (pattern, replacement by parts), in order and without look-around, so that SQL engines can share them.
+DIGITS = [
+    *[(rf"[{s}] ?([0-9][0-9.,:]*)", ("", 1, f" {u} ")) for s, u in SIGNS.items()],
+    *[(rf"([0-9]) ?[{s}]", ("", 1, f" {u} ")) for s, u in SIGNS.items()],
+    *[(r"([0-9])[.,:]([0-9])", ("", 1, JOINT, 2, ""))] * 2,
+]
+TIES = [
+    *[(rf"({_W}) (\p{{Lu}})", ("", 1, TIE, 2, ""))] * 2,
+    (rf"(^|{_NOT_W})([\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}\p{{M}}\p{{N}}][\p{{L}}\p{{M}}\p{{N}}{JOINT}]*){TIE}", ("", 1, "", 2, " ")),
+]
+#: Names of each form, and what is done in lower case.
+NAMES = [
+    [(r"([\p{L}\p{M}\p{N},;] )(\p{Lu})", ("", 1, NAME, 2, "")), (rf"(^|{_NOT_W})(\p{{Lu}}[\p{{L}}\p{{M}}\p{{N}}]*){TIE}", ("", 1, "", 2, f" {NAME}"))],
+    [(rf"(^|{_NOT_W})(\p{{Lu}})", ("", 1, NAME, 2, ""))],
+    [(TIE, (" ",))],
+]
+LOWER = [
+    (rf"([0-9])({_UNITS})($|{_NOT_W})", ("", 1, " ", 2, "", 3, "")),
+    (rf"(^|{_NOT_W})([0-9])", ("", 1, NUMBER, 2, "")),
+    (rf"({NUMBER}[\p{{N}}{JOINT}]+[^\p{{L}}\p{{M}}\p{{N}}]* ){NAME}?({_UNITS})($|{_NOT_W})", ("", 1, UNIT, 2, "", 3, "")),
+]
+REST = rf"{_NOT_W}+"
+TOKENS = r"[^\p{L}\p{M}\p{N}]+"
+SLOT = f"[{NAME}{NUMBER}{UNIT}]"
+
+
+def _replaced(t: Column, steps: list) -> Column:
+    for regex, parts in steps:
+        t = F.regexp_replace(t, regex, "".join(f"${p}" if isinstance(p, int) else p.replace("$", r"\$") for p in parts))
+    return t
+
+
+def _clean(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), MARKS, " " * len(MARKS))
+
+
+def form_texts(text: Column) -> list[Column]:
+    """The text in each form: words one space apart, a word that fills a slot with its placeholder in front."""
+    clean = _clean(text)
+    common = _replaced(F.when(clean.rlike("[0-9]"), _replaced(clean, DIGITS)).otherwise(clean), TIES)
+    out = []
+    for k, names in enumerate(NAMES):
+        low = F.lower(_replaced(common, names))
+        slots = F.when(low.rlike("[0-9]"), _replaced(low, LOWER)).otherwise(low) if k < 2 else low
+        out.append(F.trim(F.regexp_replace(slots, REST, " ")))
+    return out
+
+
+def is_slot(word: Column) -> Column:
+    return (word >= NAME) & (word < JOINT)
 
 
 def pattern(values: Column) -> Column:
@@ -85,50 +114,121 @@ def pattern(values: Column) -> Column:
     return F.transform(values, lambda v: F.array_position(values, v))
 
 
-def windows(rows: DataFrame, key: str, length: int, whole: bool = False) -> DataFrame:
-    """(key, form, pos, size, hash, values) of each window of ``length`` words in each of its forms; ``whole``: only where it is the whole
-    text; values is null in a text without slots. A form is left out where it equals the one before. Words are hashed once and
-    windows from these hashes. Short texts give an empty list instead of a filter, which would be pushed below the substitutions
-    and repeat them."""
-    d = rows.select(key, F.col("slotted").contains(INITIAL).alias("begins"), *[f.alias(f"form{k}") for k, f in enumerate(forms(F.col("slotted")))])
-    words = [F.split(f"form{k}", " ").alias(f"words{k}") for k in range(2)]
-    some = [F.col(f"form{k}").rlike(f"[{NAME}-{UNIT}]").alias(f"any{k}") for k in range(2)]
-    hashes = [F.transform(F.split(template(F.col(f"form{k}")) if k < 2 else F.col("form2"), " "), lambda w: F.xxhash64(w)).alias(f"hashes{k}") for k in range(3)]
-    d = d.select(key, "begins", *words, *some, *hashes)
-    count = F.size("hashes0")
-    places = F.when((count == length) if whole else (count >= length), F.sequence(F.lit(1), count - (length - 1)))
+def _canonical(values: Column) -> Column:
+    """Slot values, with one spelling a unit."""
+    table = F.expr("map(" + ", ".join(f"'{UNIT}{x}'" for kv in sorted(CANONICAL.items()) if kv[0] != kv[1] for x in kv) + ")")
+    return F.transform(values, lambda v: F.when(v.startswith(UNIT), F.coalesce(F.try_element_at(table, v), v)).otherwise(v))
+
+
+def _places(h: Column, size: int) -> tuple[Column, Column]:
+    """Two places of a 64-bit hash in a bitmap of a power of two bits, from different bits of it."""
+    return h.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(h, 64 - MOST_BITS).bitwiseAND(F.lit(size - 1))
+
+
+def in_bitmap(bitmap: list[int], h: Column) -> Column:
+    """Whether both bits of a 64-bit hash are set; the bitmap is one constant of the plan."""
+    words = F.from_json(F.lit(json.dumps(bitmap)), "array<bigint>")
+
+    def held(place: Column) -> Column:
+        return F.call_function("shiftright", F.get(words, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    one, two = _places(h, len(bitmap) * 64)
+    return held(one) & held(two)
+
+
+def bitmap_of(hashes: DataFrame, column: str, entries: int) -> list[int]:
+    """Bits set by a table of hashes, as 64-bit words; an aggregate by word, so its size and no count of rows bounds what is collected."""
+    power = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(BITS_EACH * max(entries, 1)))))
+    place = hashes.select(F.explode(F.array(*_places(F.col(column), 1 << power))).alias("place"))
+    bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    out = [0] * (1 << (power - 6))
+    for r in place.groupBy(F.shiftright("place", 6).alias("w")).agg(F.bit_or(bits).alias("b")).toLocalIterator():
+        out[r["w"]] = r["b"]
+    return out
+
+
+def windows(forms: DataFrame, key: str, sizes: list[int], whole: bool, bitmap: list[int] | None = None) -> DataFrame:
+    """(key, form, size, pos, hash, words) of windows of (key, words0, words1, words2), arrays of each form's words. ``whole``: windows
+    of ``sizes[0]`` words and, of shorter texts, the one that is the whole text; else windows of all sizes whose hash is in the bitmap."""
+    template = lambda ws: F.transform(ws, lambda w: F.xxhash64(F.when(is_slot(w), F.substring(w, 1, 1)).otherwise(w)))
+    d = forms.select(key, *[f"words{k}" for k in range(FORMS)], *[template(F.col(f"words{k}")).alias(f"hashes{k}") for k in range(FORMS)])
+    empty = F.array().cast("array<struct<size:int,pos:int,hash:bigint>>")
+
+    def made(k: int) -> Column:
+        h, ws, n = F.col(f"hashes{k}"), F.col(f"words{k}"), F.size(f"hashes{k}")
+
+        def at(size: Column) -> Column:
+            return F.coalesce(F.transform(
+                F.when(n >= size, F.sequence(F.lit(1), n - size + 1)), lambda i: F.struct(size.alias("size"), i.alias("pos"), F.xxhash64(F.slice(h, i, size), size).alias("hash")),
+            ), empty)
 
-    def made(k: int, here: Column) -> Column:
-        def one(i: Column) -> Column:
-            values = F.when(F.col(f"any{k}"), slots(F.slice(f"words{k}", i, length))) if k < 2 else F.lit(None).cast("array<string>")
-            return F.struct(F.lit(k).alias("form"), i.alias("pos"), F.xxhash64(F.slice(f"hashes{k}", i, length)).alias("hash"), values.alias("values"))
+        found = at(F.when((n >= SHORTEST) & (n < sizes[0]), n).otherwise(F.lit(sizes[0]))) if whole else F.concat(*[at(F.lit(s)) for s in sizes])
+        if bitmap is not None:
+            found = F.filter(found, lambda w: in_bitmap(bitmap, w["hash"]))
+        return F.transform(found, lambda w: F.struct(F.lit(k).alias("form"), w["size"].alias("size"), w["pos"].alias("pos"), w["hash"].alias("hash"), F.slice(ws, w["pos"], w["size"]).alias("words")))
 
-        return F.coalesce(F.when(here, F.transform(places, one)), F.array().cast("array<struct<form:int,pos:int,hash:bigint,values:array<string>>>"))
+    out = d.select(key, F.explode(F.concat(*[made(k) for k in range(FORMS)])).alias("w")).select(key, "w.*")
+    literal = F.size(F.filter("words", lambda w: ~is_slot(w)))
+    return out.filter((F.col("form") == FORMS - 1) | (literal >= F.least(F.lit(LITERAL), F.col("size"))))
 
-    each = F.concat(made(0, F.lit(True)), made(1, F.col("begins")), made(2, F.col("any0") | F.col("any1")))
-    d = d.select(key, F.explode(each).alias("w")).select(key, "w.form", "w.pos", F.lit(length).alias("size"), "w.hash", "w.values")
-    return d.filter(F.col("values").isNull() | (F.lit(length) - F.size("values") >= min(LITERAL, length)))
+
+def _formed(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, *[F.split(t, " ").alias(f"words{k}") for k, t in enumerate(form_texts(F.col("text")))])
+
+
+def _anchor_hash(words: list[Column]) -> Column:
+    return F.xxhash64(*words, F.lit(len(words)))
+
+
+def _anchor(words: Column) -> Column:
+    """struct(kind, hash): of a window the three adjacent words with most letters together; if there are none, two or one; null without any.
+    Only words of letters count, and no units, which a text may write in other ways."""
+    units = F.expr(f"array({', '.join(repr(u) for u in sorted(CANONICAL))})")
+    fit = F.transform(words, lambda w: F.when(w.rlike(r"^[\p{L}\p{M}]+$") & ~F.array_contains(units, w), w))
+
+    def best(ws: Column, k: int) -> Column:
+        def here(w: Column, i: Column) -> Column:
+            more = [w, *[F.get(ws, i + j) for j in range(1, k)]]
+            return F.struct(sum((F.length(x) for x in more[1:]), F.length(w)).alias("n"), F.lit(k).alias("kind"), _anchor_hash(more).alias("hash"))
+
+        top = F.array_max(F.transform(ws, here))  # a null word makes n null, and nulls are the least
+        return F.when(top["n"].isNotNull(), F.struct(top["kind"].alias("kind"), top["hash"].alias("hash")))
+
+    return F.transform(F.array(fit), lambda ws: F.coalesce(best(ws, 3), best(ws, 2), best(ws, 1)))[0]
+
+
+def _holds_anchor(text: Column, bitmap: list[int], kinds: list[int]) -> Column:
+    """Whether a text has an anchor of one of the kinds. Words are made once."""
+    tokens = F.split(F.regexp_replace(F.lower(_clean(text)), TOKENS, " "), " ")
+
+    def any_of(ts: Column) -> Column:
+        def here(w: Column, i: Column) -> Column:
+            out = F.lit(False)
+            for k in kinds:
+                out = out | in_bitmap(bitmap, _anchor_hash([w, *[F.get(ts, i + j) for j in range(1, k)]]))
+            return out
+
+        return F.array_contains(F.transform(ts, here), True)
+
+    return F.exists(F.array(tokens), any_of)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, n_windows, first_word, last_word): documents and the items they hold, with the words of the first form that matches."""
-    items = benchmark.select("item_id", slotted(F.col("text")).alias("slotted"))
-    n = F.size(F.split("slotted", " "))
-    short = [r["n"] for r in items.select(n.alias("n")).filter((F.col("n") >= SHORTEST) & (F.col("n") < length)).distinct().collect()]  # WINDOW - SHORTEST at most
-    parts = [windows(items, "item_id", length), *[windows(items, "item_id", k, whole=True) for k in short]]
-    known = parts[0]
-    for p in parts[1:]:
-        known = known.unionByName(p)
-    known = known.select("item_id", "size", "hash", F.col("form").alias("item_form"), F.col("values").alias("item_values"))
-    small = known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    texts = docs.select("doc_id", slotted(F.col("text")).alias("slotted"))
-    found = windows(texts, "doc_id", length)
-    for k in short:
-        found = found.unionByName(windows(texts, "doc_id", k))
-    met = found.join(F.broadcast(known) if small else known, ["hash", "size"])
-    none = F.array().cast("array<string>")
-    consistent = met.filter(pattern(F.coalesce("values", none)) == pattern(F.coalesce("item_values", none)))
-    by_form = consistent.groupBy("doc_id", "item_id", F.greatest("form", "item_form").alias("form")).agg(
+    # A benchmark is a small file; its windows are made by all tasks.
+    own = benchmark.select("item_id", "text").repartition(partitions(docs.sparkSession))
+    items = windows(_formed(own, "item_id"), "item_id", [length], whole=True)
+    values = lambda ws: pattern(_canonical(F.filter(ws, is_slot)))
+    known = materialise(items.select("item_id", "form", "size", "hash", values(F.col("words")).alias("item_slots"), _anchor(F.col("words")).alias("anchor")), "templates")
+    stats = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("anchor").isNull().cast("int")).alias("loose"), F.collect_set("size").alias("sizes"), F.collect_set("anchor.kind").alias("kinds")).first()
+    if not stats["n"]:
+        return docs.select("doc_id").limit(0).crossJoin(benchmark.select("item_id").limit(0)).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("last_word"))
+    texts = docs.select("doc_id", "text")
+    if not stats["loose"]:  # every window has an anchor
+        texts = texts.filter(_holds_anchor(F.col("text"), bitmap_of(known, "anchor.hash", stats["n"]), sorted(stats["kinds"])))
+    found = windows(_formed(texts, "doc_id"), "doc_id", sorted(stats["sizes"], reverse=True), False, bitmap_of(known, "hash", stats["n"]))
+    met = found.join(small(known.select("item_id", "form", "size", "hash", "item_slots")), ["form", "size", "hash"]).filter(values(F.col("words")) == F.col("item_slots"))
+    by_form = met.groupBy("doc_id", "item_id", "form").agg(
         F.countDistinct("pos").alias("n_windows"), F.min("pos").cast("long").alias("first_word"), (F.max(F.col("pos") + F.col("size")) - 1).cast("long").alias("last_word"),
     )
     first = F.min(F.struct("form", "n_windows", "first_word", "last_word")).alias("m")
@@ -136,9 +236,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFr
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold an item; a row without doc_id goes if any such row holds one."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return packed(docs, "doc_id").join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
+    """docs without the rows that hold an item; a row without doc_id goes if any such row holds one. Texts don't shuffle: the ids to drop are
+    broadcast where they are few, and beyond that rows whose id misses a bitmap of them stay where they are."""
+    bad = materialise(leaks(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "leaking")
+    rows = packed(docs, "doc_id")
+    drop = lambda d, b: d.join(b, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
+    n = bad.count()
+    if n <= BROADCAST_IDS:
+        return drop(rows, F.broadcast(bad))
+    marks = bitmap_of(bad.select(F.xxhash64("bad_id").alias("h")), "h", n)
+    maybe = in_bitmap(marks, F.xxhash64("doc_id"))
+    return rows.filter(~maybe).select("row.*").unionByName(drop(rows.filter(maybe), bad))
+
+
+#: Ids up to this number are broadcast, 8 bytes each.
+BROADCAST_IDS = 500_000
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -146,28 +258,38 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def leaks_sql(docs: str) -> str:
-    """The same by exact templates: lists of words are joined, not hashes."""
+    """The same by exact templates: lists of words are joined, not hashes, and all windows of all texts are made."""
+
+    def replaced(t: str, steps: list) -> str:
+        for regex, parts in steps:
+            t = f"regexp_replace({t}, '{regex}', '{''.join(chr(92) + str(p) if isinstance(p, int) else p for p in parts)}', 'g')"
+        return t
+
+    def formed(rel: str, key: str, k: int) -> str:
+        common = f"SELECT {key}, {replaced(f'''translate(coalesce(text, ''), '{MARKS}', '{' ' * len(MARKS)}')''', [*DIGITS, *TIES])} AS c FROM {rel}"
+        low = f"lower({replaced('c', NAMES[k])})"
+        return f"SELECT {key}, {k} AS form, string_split(trim(regexp_replace({replaced(low, LOWER) if k < 2 else low}, '{REST}', ' ', 'g')), ' ') AS ws FROM ({common})"
 
-    def words(rel: str, key: str) -> str:
-        t = f"lower(regexp_replace(coalesce(text, ''), '{NAMES[0]}', '\\1{NAME}\\2', 'g'))"
-        for regex, (_, mark, _) in NUMBERS:
-            t = f"regexp_replace({t}, '{regex}', '\\1{mark}\\2', 'g')"
-        t = f"regexp_replace({t}, '{UNIT_RE}', '\\1{UNIT}\\2\\3', 'g')"
-        return f"SELECT {key}, trim(regexp_replace({t}, '{REST}', ' ', 'g')) AS s FROM {rel}"
+    slot = f"('{NAME}', '{NUMBER}', '{UNIT}')"
+    units = "MAP {" + ", ".join(f"'{UNIT}{a}': '{UNIT}{b}'" for a, b in sorted(CANONICAL.items()) if a != b) + "}"
 
-    def wins(rel: str, key: str) -> str:
-        slot = f"('{NAME}', '{NUMBER}', '{UNIT}')"
+    def wins(rel: str, key: str, sizes: str) -> str:
+        forms = " UNION ALL ".join(formed(rel, key, k) for k in range(FORMS))
         return f"""
-SELECT {key}, p AS pos, list_transform(ws[p:p + {WINDOW - 1}], lambda w: CASE WHEN w[1] IN {slot} THEN w[1] ELSE w END) AS t,
-  list_filter(ws[p:p + {WINDOW - 1}], lambda w: w[1] IN {slot}) AS v
-FROM (SELECT {key}, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS p FROM (SELECT {key}, string_split(s, ' ') AS ws FROM ({words(rel, key)})))"""
+SELECT {key}, form, size, p AS pos, list_transform(ws[p:p + size - 1], lambda w: CASE WHEN w[1] IN {slot} THEN w[1] ELSE w END) AS t,
+  list_transform(list_filter(ws[p:p + size - 1], lambda w: w[1] IN {slot}), lambda x: coalesce(({units})[x], x)) AS v
+FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS p FROM (SELECT f.*, size FROM ({forms}) f JOIN ({sizes}) z ON len(ws) >= size AND (z.own IS NULL OR len(ws) = z.own)))"""
 
+    of_item = f"SELECT CASE WHEN n = {WINDOW} THEN {WINDOW} ELSE n END AS size, CASE WHEN n < {WINDOW} THEN n END AS own FROM range({SHORTEST}, {WINDOW + 1}) r(n)"
     return f"""
-SELECT d.doc_id, b.item_id, count(DISTINCT d.pos) AS n_windows, min(d.pos) AS first_word, max(d.pos) + {WINDOW - 1} AS last_word
-FROM ({wins(docs, 'doc_id')}) d JOIN ({wins('benchmark', 'item_id')}) b ON d.t = b.t
-WHERE {WINDOW} - len(d.v) >= {LITERAL}
+WITH b AS ({wins('benchmark', 'item_id', of_item)}), z AS (SELECT DISTINCT size, NULL AS own FROM b),
+d AS ({wins(docs, 'doc_id', 'SELECT * FROM z')}),
+m AS (SELECT d.doc_id, b.item_id, d.form, count(DISTINCT d.pos) AS n_windows, min(d.pos) AS first_word, max(d.pos + d.size) - 1 AS last_word
+FROM d JOIN b ON d.form = b.form AND d.size = b.size AND d.t = b.t
+WHERE (d.form = {FORMS - 1} OR d.size - len(d.v) >= least({LITERAL}, d.size))
   AND list_transform(d.v, lambda x: list_position(d.v, x)) = list_transform(b.v, lambda x: list_position(b.v, x))
-GROUP BY d.doc_id, b.item_id"""
+GROUP BY d.doc_id, b.item_id, d.form)
+SELECT doc_id, item_id, n_windows, first_word, last_word FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY form) = 1"""
 
 
 SQL = leaks_sql("documents")

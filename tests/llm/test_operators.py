@@ -140,11 +140,13 @@ def test_templates_catch_other_parameters_but_not_broken_ones(spark, docs, none)
 
 def test_templates_shuffled_join_gives_the_same(spark, docs, monkeypatch):
     want = rows_of(decontamination.leaks(docs, items(spark)))
-    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontamination, "small", lambda d: d)
     assert rows_of(decontamination.leaks(docs, items(spark))) == want
 
 
-def test_without_leaks_keeps_the_rest(spark, docs):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_without_leaks_keeps_the_rest(spark, docs, monkeypatch, few):
+    monkeypatch.setattr(decontamination, "BROADCAST_IDS", few)
     out = decontamination.without_leaks(docs, items(spark))
     assert out.columns == docs.columns
     assert Counter(r.doc_id for r in out.collect()) == Counter(r[0] for r in K.ROWS) - Counter([15, 16, 17])
