@@ -32,22 +32,35 @@ def _powers(n: int) -> list[np.ndarray]:
     return _power
 
 
-def hash_words(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of all words in A-Z lower case, number of words of each text). Words are runs of bytes other than
-    space and x09 to x0D; the hash is a polynomial over random byte values, by prefix sums, and then mixed with the length."""
-    raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else (t or b"") for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    lens = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+def _hash_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of the words of bytes that end in a space. Words are runs of bytes other than space and x09 to x0D in A-Z
+    lower case; the hash is a polynomial over random byte values, by prefix sums, and then mixed with the length."""
     gap = _SPLIT[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
-    counts = np.diff(np.concatenate([[0], np.searchsorted(start, np.cumsum(lens))]))
     if not len(start):
-        return np.empty(0, np.uint64), counts
+        return np.empty(0, np.uint64), start, end
     power, inverse = _powers(len(data))
     total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)])
     h = (total[end] - total[start]) * inverse[start]
-    return mix(h ^ mix((end - start).astype(np.uint64))), counts
+    return mix(h ^ mix((end - start).astype(np.uint64))), start, end
+
+
+def hash_words(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words, number of words of each text)."""
+    raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else (t or b"") for t in texts]
+    h, start, _ = _hash_bytes(np.frombuffer(b" ".join(raw) + b" ", np.uint8))
+    lens = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    return h, np.diff(np.concatenate([[0], np.searchsorted(start, np.cumsum(lens))]))
+
+
+def words_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first characters) of the words of one text."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass") + b" ", np.uint8)
+    h, start, _ = _hash_bytes(data)
+    if len(data) - 1 != len(text):  # places of bytes to places of characters
+        start = (np.cumsum((data & 0xC0) != 0x80) - 1)[start]
+    return h, start
 
 
 def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:

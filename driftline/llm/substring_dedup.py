@@ -6,7 +6,7 @@ of its own, and clauses of more than ``STRETCH`` words are cut where their own w
 places (in equal lines), three sentences in a row with 20 words or more have both ends inside, whatever surrounds them.
 
 The run of sentence i is the shortest one from i with at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words; words are
-compared in lower case (A-Z). Of equal runs the one with the smallest (doc_id, position) is first and stays; so does every sentence
+compared in lower case (A-Z) by hashes of 128 bits. Of equal runs the one with the smallest (doc_id, position) is first and stays; so does every sentence
 that no other repeated run covers: the start of a passage before its first whole sentence, and its end behind its last run.
 
 Each task settles repeats among its own runs in blocks, so one block sends at most one row for each hash: a passage that a third
@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import LOWER, UPPER, materialise, partitions
-from .shingles import hash_words
+from .runtime import groups_for, materialise
+from .shingles import mix, words_of
 
 MIN_SENTENCES, MIN_WORDS = 3, 20
 BLOCK_RUNS = 1_000_000
@@ -38,69 +38,76 @@ STRETCH = 12
 _END = re.compile(
     r"(?<![.!?;:,])[.!?;:,]++[^\w\x20\x09-\x0D]*+(?=[\x20\x09-\x0D])[\x20\x09-\x0D]*+|[\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61]++[^\w\x20\x09-\x0D]*+[\x20\x09-\x0D]*+|[\n\r]+[\x20\x09-\x0D]*"
 )
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NULL = -(2**63)
-_ASCII = str.maketrans(UPPER, LOWER)
+
+
+#: Stops that need no space behind them, so that they end words too.
+_WIDE = re.compile(r"[\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61]++[^\w\x20\x09-\x0D]*+")
+
+
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first characters) of words, none of which reaches over a wide stop."""
+    if text.isascii() or not (at := [m.end() for m in _WIDE.finditer(text)]):
+        return words_of(text)
+    parts = [(a, *words_of(text[a:b])) for a, b in zip([0, *at], [*at, len(text)])]
+    return np.concatenate([h for _, h, _ in parts]), np.concatenate([first + a for a, _, first in parts])
+
+
+def _cuts(text: str, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where sentences start, in characters, the first at 0; h and first are the words of the text.
+
+    Clause ends, and in clauses of more than STRETCH words those words that have the least hash of some STRETCH words in a row, the
+    clause's first word aside: its words alone decide, so copies are cut alike whatever stands around them."""
+    ends = np.fromiter((m.end() for m in _END.finditer(text)), np.int64)
+    n = len(h)
+    if n > STRETCH:
+        clause = np.searchsorted(ends, first, side="right")
+        inner = np.concatenate([[False], clause[1:] == clause[:-1]])  # not the first word of its clause
+        least = h
+        for step in (1, 2, 4, STRETCH - 8):
+            least = np.minimum(least[:-step], least[step:])
+        least = np.where(inner[: len(least)] & (clause[: len(least)] == clause[STRETCH - 1 :]), least, np.uint64(0))
+        pad = np.zeros(STRETCH - 1, np.uint64)
+        most = np.concatenate([pad, least, pad])
+        for step in (1, 2, 4, STRETCH - 8):
+            most = np.maximum(most[:-step], most[step:])
+        ends = np.concatenate([ends, first[inner & (most == h)]])
+    # Blank pieces belong to the one before; a start without words behind it is none.
+    at = np.searchsorted(first, np.unique(ends))
+    at = np.unique(at[at < n])
+    return np.concatenate([[0], first[at[at > 0]]])
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(from, to) in characters, which together are the whole text; blank pieces belong to the one before."""
-    cuts = [m.end() for m in _END.finditer(text)]
-    out, at = [], 0
-    for c in [*cuts, len(text)]:
-        if c > at:
-            if c - at > 2 * STRETCH:
-                for k in _inner(text[at:c]):
-                    out.append((at, at + k)) if not out or out[-1][1] == at else out.append((out[-1][1], at + k))
-            out.append((out[-1][1] if out else at, c))
-            at = c
-    return out
-
-
-def _inner(clause: str) -> list[int]:
-    """Where words start that have the least hash of some ``STRETCH`` words in a row, the first word aside: the words alone decide,
-    so copies are cut alike whatever stands around them."""
-    if len(clause.split()) <= STRETCH:
-        return []
-    h = hash_words([clause])[0][1:]
-    if len(h) < STRETCH:
-        return []
-    least = h
-    for step in (1, 2, 4, STRETCH - 8):
-        least = np.minimum(least[:-step], least[step:])
-    most = np.concatenate([np.zeros(STRETCH - 1, np.uint64), least, np.zeros(STRETCH - 1, np.uint64)])
-    for step in (1, 2, 4, STRETCH - 8):
-        most = np.maximum(most[:-step], most[step:])
-    at = [m.start() for m in _WORD.finditer(clause)]
-    return [at[k + 1] for k in np.flatnonzero(most == h)]
-
-
-def runs(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first sentence, last sentence + 1) of every run."""
-    spans = sentences(text)
-    if len(spans) < min_sentences:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    low = text.translate(_ASCII) if not text.islower() else text
-    counts = np.fromiter((len(low[a:b].split()) for a, b in spans), np.int64, len(spans))
-    words, _ = hash_words([low])
-    edge = np.concatenate([[0], np.cumsum(counts)])
-    if edge[-1] != len(words):  # a word with spaces that only one of the two splitters knows
-        pieces = [hash_words([low[a:b]])[0] for a, b in spans]
-        counts = np.array([len(p) for p in pieces])
-        words, edge = np.concatenate(pieces), np.concatenate([[0], np.cumsum(counts)])
-    last = np.maximum(np.searchsorted(edge, edge[:-1] + min_words), np.arange(len(spans)) + min_sentences)
-    ok = np.flatnonzero(last <= len(spans))
+    """(from, to) in characters, which together are the whole text; a text of blanks is one."""
+    cuts = _cuts(text, *_words(text)).tolist()
+    return list(zip(cuts, [*cuts[1:], len(text)])) if text else []
+
+
+def runs(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(both halves of a 128-bit hash, first sentence, last sentence + 1) of every run."""
+    words, first = _words(text)
+    none = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(words) < min_words:
+        return none
+    cuts = _cuts(text, words, first)
+    if len(cuts) < min_sentences:
+        return none
+    edge = np.concatenate([np.searchsorted(first, cuts), [len(words)]])
+    edge[0] = 0
+    last = np.maximum(np.searchsorted(edge, edge[:-1] + min_words), np.arange(len(cuts)) + min_sentences)
+    ok = np.flatnonzero(last <= len(cuts))
     if not len(ok):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    # The hash of a word sequence as a difference of prefix sums, undone by the inverse power at its start.
+        return none
+    # The hash of a word sequence as a difference of prefix sums, undone by the inverse power at its start; two of them from words mixed apart.
     n = len(words)
     power, inverse = _powers(n)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(words * power[:n], dtype=np.uint64)])
-    h = (total[edge[last[ok]]] - total[edge[ok]]) * inverse[np.minimum(edge[ok], n - 1)]
-    h ^= (edge[last[ok]] - edge[ok]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29)), ok, last[ok]
+    length = (edge[last[ok]] - edge[ok]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out = []
+    for ws in (words, mix(words ^ np.uint64(0xD1B54A32D192ED03))):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(ws * power[:n], dtype=np.uint64)])
+        out.append(mix(((total[edge[last[ok]]] - total[edge[ok]]) * inverse[np.minimum(edge[ok], n - 1)]) ^ length))
+    return *out, ok, last[ok]
 
 
 _made: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -118,14 +125,14 @@ def _powers(n: int) -> list[np.ndarray]:
     return _made
 
 
-def _settle(h, doc, crc, pos, end):
+def _settle(h, g, doc, crc, pos, end):
     """Sorted by (hash, doc, checksum, pos), equal rows once: which rows are the first of their hash."""
-    order = np.lexsort((pos, crc, doc, h))
-    h, doc, crc, pos, end = (x[order] for x in (h, doc, crc, pos, end))
-    new = h[1:] != h[:-1]
+    order = np.lexsort((pos, crc, doc, g, h))
+    h, g, doc, crc, pos, end = (x[order] for x in (h, g, doc, crc, pos, end))
+    new = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
     other = np.concatenate([[True], new | (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1]) | (pos[1:] != pos[:-1])])
     first = np.concatenate([[True], new])[other]
-    return h[other], doc[other], crc[other], pos[other], end[other], first
+    return h[other], g[other], doc[other], crc[other], pos[other], end[other], first
 
 
 def _spans(doc, crc, pos, end) -> list[tuple[int, int, bytes]]:
@@ -139,19 +146,20 @@ def _spans(doc, crc, pos, end) -> list[tuple[int, int, bytes]]:
 
 
 #: Of the packed runs, column after column.
-_RUN = (("<u8", 8, 0), ("<i8", 8, 8), ("<u4", 4, 16), ("<i4", 4, 20), ("<i4", 4, 24))
+_RUN = (("<u8", 0), ("<u8", 8), ("<i8", 16), ("<u4", 24), ("<i4", 28), ("<i4", 32))
+_RUN_BYTES = 36
 ROWS = "part int, runs binary, spans binary, doc long, crc long"
 
 
 def _pack(block: list, n_parts: int) -> pa.RecordBatch:
-    h, doc, crc, pos, end, first = _settle(*[np.concatenate(x) for x in zip(*block)])
+    h, g, doc, crc, pos, end, first = _settle(*[np.concatenate(x) for x in zip(*block)])
     again = ~first
     rows = _spans(doc[again], crc[again], pos[again], end[again])
     part = (h[first] % np.uint64(n_parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    keep = [x[first][order] for x in (h, doc, crc, pos, end)]
+    keep = [x[first][order] for x in (h, g, doc, crc, pos, end)]
     edges = np.searchsorted(part[order], np.arange(n_parts + 1))
-    packed = [b"".join(x[a:b].astype(t).tobytes() for x, (t, _, _) in zip(keep, _RUN)) for a, b in zip(edges, edges[1:]) if b > a]
+    packed = [b"".join(x[a:b].astype(t).tobytes() for x, (t, _) in zip(keep, _RUN)) for a, b in zip(edges, edges[1:]) if b > a]
     ids = [k for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
     return pa.record_batch([
         pa.array([*ids, *[d % n_parts for d, _, _ in rows]], pa.int32()), pa.array([*packed, *[None] * len(rows)], pa.binary()),
@@ -161,7 +169,7 @@ def _pack(block: list, n_parts: int) -> pa.RecordBatch:
 
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, crc, spans): spans of sentences to remove, packed int32 pairs; a document may have several rows. A null doc_id is the least long."""
-    n_parts = partitions(docs.sparkSession) * 4
+    n_parts = groups_for(docs)
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = [], 0
@@ -169,9 +177,9 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                 if not text:
                     continue
-                h, a, b = runs(text, min_sentences, min_words)
+                h, g, a, b = runs(text, min_sentences, min_words)
                 if len(h):
-                    block.append((h, np.full(len(h), _NULL if doc is None else doc, np.int64), np.full(len(h), zlib.crc32(text.encode("utf-8", "surrogatepass")), np.uint32), a, b))
+                    block.append((h, g, np.full(len(h), _NULL if doc is None else doc, np.int64), np.full(len(h), zlib.crc32(text.encode("utf-8", "surrogatepass")), np.uint32), a, b))
                     held += len(h)
                 if held >= BLOCK_RUNS:
                     yield _pack(block, n_parts)
@@ -183,8 +191,8 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
         blobs = [b for b in table.column("runs").to_pylist() if b]
         out = [r for r in zip(*(table.column(c).to_pylist() for c in ("doc", "crc", "spans"))) if r[2] is not None]
         if blobs:
-            cols = [[np.frombuffer(b, t, len(b) // 28, o * (len(b) // 28)) for b in blobs] for t, _, o in _RUN]
-            _, doc, crc, pos, end, first = _settle(*map(np.concatenate, cols))
+            cols = [[np.frombuffer(b, t, len(b) // _RUN_BYTES, o * (len(b) // _RUN_BYTES)) for b in blobs] for t, o in _RUN]
+            _, _, doc, crc, pos, end, first = _settle(*map(np.concatenate, cols))
             out += _spans(doc[~first], crc[~first], pos[~first], end[~first])
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate((("doc", pa.int64()), ("crc", pa.int64()), ("spans", pa.binary())))})
 
