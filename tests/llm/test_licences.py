@@ -50,8 +50,9 @@ def brute(text):
     """Identifiers at each start of a line or sentence, by joining all that follows and comparing with every known sentence."""
     cuts = [0, *[m.end() for m in re.finditer(r"[\r\n]+|(?<=[.;!])\s+", text)]]
     pieces = [t for t in (text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])) if t.strip()]
-    norm = [L.normalise(L._BULLET.sub("", p.strip())) for p in pieces]
-    known = {L.normalise(s): k for k, s in L.SENTENCES.items()}
+    flat = lambda s: " ".join(L.normalise(s).split())
+    norm = [flat(L._BULLET.sub("", p.strip())) for p in pieces]
+    known = {flat(s): k for k, s in L.SENTENCES.items()}
     out, k = [], 0
     while k < len(norm):
         best = None
