@@ -3,16 +3,18 @@
 Two halves. ``write_avi``/``read_avi`` keep bytes in the quantised coefficients of baseline grey JPEG frames, 64 bytes an 8x8
 block, which no step of the format rounds: coefficient = 256 + byte, so each has the same Huffman category and all blocks the
 same number of bits, and whole frames are packed and unpacked by array operations. ``decode_jpeg`` reads any baseline frame of
-one or three components, ``shots`` cuts a film where histograms of neighbouring frames differ by more than the film's own usual
-difference, and ``clips`` gives timed rows.
+one or three components, by its own tables, those of its film or the usual ones of motion-JPEG; ``shots`` cuts a film where histograms
+of neighbouring pictures differ by more than the film's own usual difference, and ``clips`` gives timed rows. The stored film of
+a text is read back by that decoder: its payload from the coefficients, its shots from the pictures.
 
 Defined results: a null or empty text is one block of zeros; equal texts give equal files; an empty table gives an empty result;
-null and repeated doc_ids are kept; extra columns are ignored.
+null and repeated doc_ids are kept; very long texts are films of many frames; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -70,20 +72,9 @@ def encode_frame(payload: bytes, width: int, height: int) -> bytes:
     return _header(width, height) + scan + b"\xff\xd9"
 
 
-def decode_frame(frame: bytes, width: int, height: int) -> np.ndarray:
-    """The stored bytes of a frame written here, 64 a block, from its entropy-coded bits."""
-    head = len(_header(width, height))
-    if frame[:head] != _header(width, height) or frame[-2:] != b"\xff\xd9":
-        raise ValueError("not a frame of this profile")
-    blocks = (width // 8) * (height // 8)
-    bits = np.unpackbits(np.frombuffer(frame[head:-2].replace(b"\xff\0", b"\xff"), np.uint8))[: blocks * BLOCK_BITS].reshape(blocks, BLOCK_BITS)
-    out = np.empty((blocks, 64), np.uint8)
-    amp = bits[:, 1:11].astype(np.int32) @ _TEN
-    diff = np.where(bits[:, 1] == 1, amp, amp - 1023)
-    diff[0] = bits[0, 2:11].astype(np.int32) @ _NINE
-    out[:, 0] = np.abs(np.cumsum(diff)) - 256
-    out[:, 1:] = np.packbits(np.ascontiguousarray(bits[:, 11:].reshape(blocks, 63, 10)[:, :, 2:]).reshape(blocks, 504), axis=1)
-    return out
+def stored_bytes(coefficients: np.ndarray) -> np.ndarray:
+    """The bytes, 64 a block, in the coefficients of a frame written here."""
+    return (np.abs(coefficients) - 256).astype(np.uint8)
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -168,10 +159,10 @@ def parse_avi(avi: bytes) -> dict:
 
 
 def read_avi(avi: bytes) -> tuple[bytes, list[np.ndarray]]:
-    """The payload and each frame's stored blocks."""
+    """The payload of a film written here, and its decoded pictures."""
     info = parse_avi(avi)
-    blocks = [decode_frame(avi[a : a + n], info["width"], info["height"]) for a, n in info["frames"]]
-    return b"".join(b.tobytes() for b in blocks)[: info["length"]], blocks
+    decoded = [decode_coefficients(avi[a : a + n]) for a, n in info["frames"]]
+    return b"".join(stored_bytes(c).tobytes() for _, c in decoded)[: info["length"]], [picture(f, c) for f, c in decoded]
 
 
 # -- general baseline JPEG ---------------------------------------------------------------------------------------------
@@ -216,62 +207,129 @@ class _Bits:
         return v if not size or v >> (size - 1) else v - (1 << size) + 1
 
 
-def decode_jpeg(data: bytes) -> np.ndarray:
-    """Grey samples (the first component) of a baseline JPEG, height x width, uint8."""
-    at, quant, huff, frame, interval = 2, {}, {}, None, 0
-    while True:
-        if data[at] != 0xFF:
-            raise ValueError("no marker where one must be")
-        marker, n = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
-        body = data[at + 4 : at + 2 + n]
-        at += 2 + n
-        if marker == 0xDB:
-            k = 0
-            while k < len(body):
-                wide = body[k] >> 4
-                size = 128 if wide else 64
-                quant[body[k] & 15] = np.frombuffer(body[k + 1 : k + 1 + size], ">u2" if wide else "u1").astype(np.int32)
-                k += 1 + size
-        elif marker in (0xC0, 0xC1):
-            _, h, w, c = struct.unpack_from(">BHHB", body)
-            frame = (h, w, [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(c)])
-        elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            raise ValueError("only baseline frames are decoded")
-        elif marker == 0xC4:
+class Frame:
+    """What the markers of a baseline JPEG say: size, components, tables, and the entropy-coded runs between restart markers.
+
+    Tables that a frame leaves out are those of the film's first frame (``inherit``) or the usual ones of motion-JPEG."""
+
+    def __init__(self, data: bytes, inherit: "Frame | None" = None) -> None:
+        if data[:2] != b"\xff\xd8":
+            raise ValueError("not a JPEG frame")
+        at, self.interval, size, scan = 2, 0, None, None
+        self.quant = dict(inherit.quant) if inherit else {}
+        self.tables: dict[int, tuple[bytes, bytes]] = dict(inherit.tables) if inherit else dict(_usual())
+        while scan is None:
+            if at + 4 > len(data) or data[at] != 0xFF:
+                raise ValueError("no marker where one must be")
+            marker, n = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+            body = data[at + 4 : at + 2 + n]
+            at += 2 + n
             k = 0
-            while k < len(body):
-                total = sum(body[k + 1 : k + 17])
-                huff[body[k]] = _codes(body[k + 1 : k + 17], body[k + 17 : k + 17 + total])
-                k += 17 + total
-        elif marker == 0xDD:
-            interval = struct.unpack(">H", body)[0]
-        elif marker == 0xDA:
-            scan = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
-            break
-    h, w, parts = frame
-    hmax, vmax = max(p[1] for p in parts), max(p[2] for p in parts)
-    if len(parts) == 1:
-        parts = [(parts[0][0], 1, 1, parts[0][3])]
-        hmax = vmax = 1
-    across, down = -(-w // (8 * hmax)), -(-h // (8 * vmax))
-    _, h0, v0, q0 = parts[0]
-    coef = np.zeros((down * v0, across * h0, 64), np.int32)
-    end = data.rfind(b"\xff\xd9")
-    runs, start = [], at
-    k = at
-    while k < end:  # restart markers part the scan
-        if data[k] == 0xFF and 0xD0 <= data[k + 1] <= 0xD7:
-            runs.append(data[start:k])
-            start = k = k + 2
+            if marker == 0xDB:
+                while k < len(body):
+                    wide = body[k] >> 4
+                    own = 128 if wide else 64
+                    self.quant[body[k] & 15] = np.frombuffer(body[k + 1 : k + 1 + own], ">u2" if wide else "u1").astype(np.int32)
+                    k += 1 + own
+            elif marker in (0xC0, 0xC1):
+                _, h, w, c = struct.unpack_from(">BHHB", body)
+                size = (h, w, [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(c)])
+            elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                raise ValueError("only baseline frames are decoded")
+            elif marker == 0xC4:
+                while k < len(body):
+                    total = sum(body[k + 1 : k + 17])
+                    self.tables[body[k]] = (body[k + 1 : k + 17], body[k + 17 : k + 17 + total])
+                    k += 17 + total
+            elif marker == 0xDD:
+                self.interval = struct.unpack(">H", body)[0]
+            elif marker == 0xDA:
+                scan = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
+        if size is None:
+            raise ValueError("a scan without a frame header")
+        self.scan = scan
+        self.height, self.width, self.parts = size
+        self.hmax, self.vmax = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
+        if len(self.parts) == 1:
+            self.parts, self.hmax, self.vmax = [(self.parts[0][0], 1, 1, self.parts[0][3])], 1, 1
+        self.across, self.down = -(-self.width // (8 * self.hmax)), -(-self.height // (8 * self.vmax))
+        end = data.rfind(b"\xff\xd9")
+        if end < at:
+            raise ValueError("a frame without an end")
+        self.runs = [r.replace(b"\xff\0", b"\xff") for r in re.split(rb"\xff[\xd0-\xd7]", data[at:end])]
+
+
+def _usual() -> dict[int, tuple[bytes, bytes]]:
+    """The Huffman tables that motion-JPEG frames may leave out (ITU T.81, K.3 to K.6): counts by length, and symbols. Fixed values."""
+    dc = bytes(range(12))
+    light = bytes.fromhex(
+        "0102030004110512213141061351610722711432819 1a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a"
+        "636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6"
+        "e7e8e9eaf1f2f3f4f5f6f7f8f9fa".replace(" ", "")
+    )
+    colour = bytes.fromhex(
+        "0001020311040521310612415107617113223281081442 91a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758595a"
+        "636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6"
+        "e7e8e9eaf2f3f4f5f6f7f8f9fa".replace(" ", "")
+    )
+    return {
+        0x00: (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), dc), 0x01: (bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]), dc),
+        0x10: (bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 0x7D]), light), 0x11: (bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 0x77]), colour),
+    }
+
+
+def _even_blocks(f: Frame) -> np.ndarray | None:
+    """Coefficients of a frame all of whose blocks have the same number of bits, decoded for all blocks at once; None for any other frame.
+
+    True of one component whose AC table gives '0' to a value of category c without zeros before it, and whose blocks hold 63 of them:
+    the places of all codes but the DC's are then known, and are checked to be what the table says."""
+    dc, ac = f.tables.get(f.scan[f.parts[0][0]][0]), f.tables.get(0x10 | f.scan[f.parts[0][0]][1])
+    if len(f.parts) != 1 or len(f.runs) != 1 or not ac or not dc or not ac[0][0] or ac[1][0] >> 4 or not ac[1][0]:
+        return None
+    size, n = ac[1][0], f.across * f.down
+    codes = {c: (length, code) for (length, code), c in _codes(*dc).items()}
+    bits = np.unpackbits(np.frombuffer(f.runs[0], np.uint8))
+    tail = 63 * (1 + size)
+    # The first block's DC may be of another category than the rest, all of which are of one.
+    for first_cat, cat in ((a, b) for a in codes for b in codes):
+        (l0, c0), (l1, c1) = codes[first_cat], codes[cat]
+        head, step = l0 + first_cat, l1 + cat + tail
+        total = head + tail + (n - 1) * step
+        if not total <= len(bits) < total + 8 or not bits[total:].all():
+            continue
+        if head == l1 + cat:
+            blocks = bits[:total].reshape(n, step)
         else:
-            k += 1
-    runs.append(data[start:end])
+            blocks = np.zeros((n, max(step, head + tail)), np.uint8)
+            width = blocks.shape[1]
+            blocks[0, width - head - tail :] = bits[: head + tail]
+            blocks[1:, width - step :] = bits[head + tail : total].reshape(n - 1, step)
+        acs = blocks[:, blocks.shape[1] - tail :].reshape(n, 63, 1 + size)
+        lead = blocks[:, : blocks.shape[1] - tail]
+        word = lambda rows, k: rows @ (1 << np.arange(rows.shape[1] - 1, -1, -1)) if k else np.zeros(len(rows), np.int64)
+        first_lead, rest = lead[:1, lead.shape[1] - head :], lead[1:, lead.shape[1] - (l1 + cat) :]
+        if acs[:, :, 0].any() or word(first_lead[:, :l0].astype(np.int64), l0)[0] != c0 or (n > 1 and (word(rest[:, :l1].astype(np.int64), l1) != c1).any()):
+            continue
+        signed = lambda v, c: np.where(v >> (c - 1), v, v - (1 << c) + 1) if c else v
+        diff = np.concatenate([signed(word(first_lead[:, l0:].astype(np.int64), first_cat), first_cat), signed(word(rest[:, l1:].astype(np.int64), cat), cat)])
+        out = np.empty((n, 64), np.int32)
+        out[:, 0] = np.cumsum(diff)
+        out[:, 1:] = signed(acs[:, :, 1:].astype(np.int32) @ (1 << np.arange(size - 1, -1, -1, dtype=np.int32)), size)
+        return out
+    return None
+
+
+def _all_blocks(f: Frame) -> np.ndarray:
+    """Coefficients of the first component of any baseline frame, block after block of its own grid."""
+    huff = {k: _codes(*t) for k, t in f.tables.items()}
+    _, h0, v0, _ = f.parts[0]
+    coef = np.zeros((f.down * v0, f.across * h0, 64), np.int32)
     mcu = 0
-    for run in runs:
-        bits, last = _Bits(run.replace(b"\xff\0", b"\xff")), dict.fromkeys((p[0] for p in parts), 0)
-        for _ in range(min(interval or across * down, across * down - mcu)):
-            for ci, (cid, hs, vs, _) in enumerate(parts):
-                dct, act = scan[cid]
+    for run in f.runs:
+        bits, last = _Bits(run), dict.fromkeys((p[0] for p in f.parts), 0)
+        for _ in range(min(f.interval or f.across * f.down, f.across * f.down - mcu)):
+            for ci, (cid, hs, vs, _) in enumerate(f.parts):
+                dct, act = f.scan[cid]
                 for v in range(vs):
                     for x in range(hs):
                         row = np.zeros(64, np.int32)
@@ -289,9 +347,27 @@ def decode_jpeg(data: bytes) -> np.ndarray:
                             row[i] = bits.number(s & 15)
                             i += 1
                         if ci == 0:
-                            coef[(mcu // across) * v0 + v, (mcu % across) * h0 + x] = row
+                            coef[(mcu // f.across) * v0 + v, (mcu % f.across) * h0 + x] = row
             mcu += 1
-    return samples(coef.reshape(-1, 64) * quant[q0], across * h0)[: -(-h * v0 // vmax), : -(-w * h0 // hmax)]
+    return coef.reshape(-1, 64)
+
+
+def decode_coefficients(data: bytes, inherit: Frame | None = None) -> tuple[Frame, np.ndarray]:
+    """(frame, quantised coefficients of the first component, a row a block in raster order)."""
+    f = Frame(data, inherit)
+    even = _even_blocks(f)
+    return f, _all_blocks(f) if even is None else even
+
+
+def picture(f: Frame, coefficients: np.ndarray) -> np.ndarray:
+    """Grey samples, height x width, uint8."""
+    _, h0, v0, q0 = f.parts[0]
+    return samples(coefficients * f.quant[q0], f.across * h0)[: -(-f.height * v0 // f.vmax), : -(-f.width * h0 // f.hmax)]
+
+
+def decode_jpeg(data: bytes, inherit: Frame | None = None) -> np.ndarray:
+    """Grey samples (the first component) of a baseline JPEG."""
+    return picture(*decode_coefficients(data, inherit))
 
 
 def samples(coefficients: np.ndarray, across: int) -> np.ndarray:
@@ -326,19 +402,38 @@ def shots(hists: list[np.ndarray], window: int = 12, factor: float = 3.0, least:
     return starts if hists else []
 
 
+def pictures(avi: bytes, info: dict) -> Iterator[np.ndarray | None]:
+    """Each frame's picture. An empty frame repeats the one before, as players show it; None is a frame that cannot be decoded."""
+    first, last = None, None
+    for a, n in info["frames"]:
+        if n:
+            try:
+                f, c = decode_coefficients(avi[a : a + n], first)
+                first, last = first or f, picture(f, c)
+            except (ValueError, IndexError, KeyError, struct.error):
+                yield None
+                continue
+        yield last
+
+
 def clips(avi: bytes) -> list[dict]:
-    """clip, first_frame, n_frames, start_s, end_s of each shot of an AVI of baseline JPEG frames."""
+    """clip, first_frame, n_frames, start_s, end_s, bad_frames of each shot of an AVI of baseline JPEG frames. A frame that cannot be
+    decoded is counted and stays in the shot around it; it does not take part in the differences."""
     info = parse_avi(avi)
-    starts = shots([histogram(decode_jpeg(avi[a : a + n])) for a, n in info["frames"]])
-    ends = [*starts[1:], len(info["frames"])]
-    return [{"clip": i, "first_frame": a, "n_frames": b - a, "start_s": a / info["fps"], "end_s": b / info["fps"]} for i, (a, b) in enumerate(zip(starts, ends))]
+    hists = [None if p is None else histogram(p) for p in pictures(avi, info)]
+    good = [k for k, h in enumerate(hists) if h is not None]
+    starts = [good[k] for k in shots([hists[k] for k in good])] or [0] * bool(hists)
+    starts[:1] = [0] * bool(hists)
+    ends = [*starts[1:], len(hists)]
+    return [{"clip": i, "first_frame": a, "n_frames": b - a, "start_s": a / info["fps"], "end_s": b / info["fps"], "bad_frames": sum(h is None for h in hists[a:b])} for i, (a, b) in enumerate(zip(starts, ends))]
 
 
-CLIPS = "clip int, first_frame int, n_frames int, start_s double, end_s double"
+CLIPS = "clip int, first_frame int, n_frames int, start_s double, end_s double, bad_frames int"
 
 
 def clip_rows(media: DataFrame, key: str = "media_id", column: str = "media") -> DataFrame:
-    """(key, clip, first_frame, n_frames, start_s, end_s) from a column of AVI bytes; files that are no AVI give no rows."""
+    """(key, clip, first_frame, n_frames, start_s, end_s, bad_frames) from a column of AVI bytes. Bytes that are no AVI, and nulls, give no
+    rows; a broken frame costs itself, not its film."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -346,28 +441,46 @@ def clip_rows(media: DataFrame, key: str = "media_id", column: str = "media") ->
             for i, b in enumerate(part.column(column).to_pylist()):
                 try:
                     found = clips(b) if b else []
-                except (ValueError, IndexError, KeyError, struct.error):
+                except (ValueError, struct.error):  # of the container; frames are handled one by one
                     found = []
                 keys += [i] * len(found)
                 rows += found
             cols = [part.column(key).take(pa.array(keys, pa.int64()))]
-            kinds = (("clip", pa.int32()), ("first_frame", pa.int32()), ("n_frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()))
+            kinds = (("clip", pa.int32()), ("first_frame", pa.int32()), ("n_frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("bad_frames", pa.int32()))
             yield pa.record_batch([*cols, *[pa.array([r[k] for r in rows], t) for k, t in kinds]], names=[key, *[k for k, _ in kinds]])
 
     return media.select(key, column).mapInArrow(run, f"{key} {media.schema[key].dataType.simpleString()}, {CLIPS}")
 
 
+def text_films(docs: DataFrame) -> DataFrame:
+    """(media_id, media): each text as a film, a media table for ``clip_rows``; a film is as long as its text in frames."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k in range(0, part.num_rows, 16):
+                p = part.slice(k, 16)
+                films = [write_avi(_payload(t)[1]) for t in p.column("text").to_pylist()]
+                yield pa.record_batch([p.column("doc_id"), pa.array(films, pa.binary())], names=["media_id", "media"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "media_id long, media binary")
+
+
+def _payload(text: str | None) -> tuple[int, bytes]:
+    raw = (text or "").encode("utf-8")
+    return len(raw), raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+
+
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def digest(text: str | None) -> tuple:
-    raw = (text or "").encode("utf-8")
-    payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+    """Of a text: its film is written, its frames are decoded to pictures, and shots are cut where these differ."""
+    n, payload = _payload(text)
     avi = write_avi(payload)
-    back, blocks = read_avi(avi)
-    starts = shots([histogram(b) for b in blocks])
-    feature = f"frames={len(blocks)};shots={','.join(f'{s / FPS:.2f}' for s in starts)}"
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(avi), hashlib.sha256(avi).hexdigest(), feature
+    back, frames = read_avi(avi)
+    starts = shots([histogram(p) for p in frames])
+    feature = f"frames={len(frames)};shots={','.join(f'{s / FPS:.2f}' for s in starts)}"
+    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(avi), hashlib.sha256(avi).hexdigest(), feature
 
 
 def text_media(docs: DataFrame) -> DataFrame:
@@ -384,5 +497,10 @@ def text_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
 
 
+def media_clips(spark, sf_dir: str) -> DataFrame:
+    """Timed clips of the films of all texts."""
+    return clip_rows(text_films(spark.read.parquet(f"{sf_dir}/documents.parquet"))).withColumnRenamed("media_id", "doc_id")
+
+
 def op7_media(spark, sf_dir: str) -> DataFrame:
     return text_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -28,6 +28,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "media_clips": media_avi.media_clips,
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 ORACLES = {"op3_decontamination": decontamination.SQL, "op9_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}

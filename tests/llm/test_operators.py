@@ -263,17 +263,45 @@ def test_media_round_trip(docs, none):
     assert got[1][0].media_sha256 == got[2][0].media_sha256 and media_avi.text_media(none).count() == 0
 
 
-def test_frames_are_baseline_jpeg():
-    """The general decoder reads what the fast one wrote: same coefficients, so same samples."""
-    rng = np.random.default_rng(2)
-    payload = rng.integers(0, 256, 64 * 12, dtype=np.uint8).tobytes()
-    frame = media_avi.encode_frame(payload, 32, 24)
-    blocks = media_avi.decode_frame(frame, 32, 24)
-    assert blocks.tobytes() == payload
-    signs = np.where(np.arange(12) % 2, -1, 1)
-    coef = blocks.astype(np.int32) + 256
-    coef[:, 0] *= signs
-    assert (media_avi.decode_jpeg(frame) == media_avi.samples(coef, 4)).all()
+@pytest.mark.parametrize("blocks", [1, 2, 12])
+def test_frames_are_baseline_jpeg(blocks):
+    """The decoder of even blocks and the general one read the same coefficients, which hold the bytes."""
+    payload = np.random.default_rng(2).integers(0, 256, 64 * blocks, dtype=np.uint8).tobytes()
+    shape = media_avi.shape(blocks)[1:]
+    frame = media_avi.Frame(media_avi.encode_frame(payload, *shape))
+    fast, plain = media_avi._even_blocks(frame), media_avi._all_blocks(frame)
+    assert (fast == plain).all() and media_avi.stored_bytes(plain)[:blocks].tobytes() == payload
+
+
+def test_feature_is_that_of_decoded_pictures(spark, duck):
+    """Every stored film decoded block by block by the general decoder; the film itself is compared by its own bytes."""
+    rows = duck.execute("SELECT doc_id, text FROM documents WHERE length(text) < 3000 ORDER BY doc_id LIMIT 25").fetchall() + [(999, None)]
+    got = {r.doc_id: r for r in media_avi.text_media(K.documents(spark, [(i, t, "", "") for i, t in rows])).collect()}
+    films = {r.media_id: bytes(r.media) for r in media_avi.text_films(K.documents(spark, [(i, t, "", "") for i, t in rows])).collect()}
+    for i, t in rows:
+        film = films[i]
+        info = media_avi.parse_avi(film)
+        frames = [media_avi.Frame(film[a : a + n]) for a, n in info["frames"]]
+        pictures = [media_avi.picture(f, media_avi._all_blocks(f)) for f in frames]
+        starts = media_avi.shots([np.histogram(p, 32, (0, 256))[0] / p.size for p in pictures])
+        assert got[i].feature == f"frames={len(frames)};shots={','.join(f'{s / 25:.2f}' for s in starts)}"
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(film), hashlib.sha256(film).hexdigest())
+
+
+def test_frames_without_tables_and_broken_ones():
+    """Motion-JPEG leaves Huffman tables out; an empty frame repeats the last; a broken one costs itself."""
+    def flat(level):
+        diff = (level - 128) * 8
+        size = abs(diff).bit_length()
+        codes = ["00", "010", "011", "100", "101", "110", "1110", "11110", "111110", "1111110", "11111110", "111111110"]
+        bits = codes[size] + (format(diff if diff > 0 else diff + (1 << size) - 1, f"0{size}b") if size else "") + "1010"
+        bits += "1" * (-len(bits) % 8)
+        head = b"\xff\xd8" + media_avi._segment(0xDB, b"\0" + b"\1" * 64) + media_avi._segment(0xC0, b"\x08\0\x08\0\x08\1\1\x11\0") + media_avi._segment(0xDA, b"\1\1\0\0\x3f\0")
+        return head + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0") + b"\xff\xd9"
+
+    frames = [flat(200)] * 4 + [b""] + [flat(200)[:30]] + [flat(200)] * 4 + [flat(30)] * 5
+    film = media_avi._chunk(b"RIFF", b"AVI " + media_avi._list(b"movi", *[media_avi._chunk(b"00dc", f) for f in frames]))
+    assert [(c["first_frame"], c["n_frames"], c["bad_frames"]) for c in media_avi.clips(film)] == [(0, 10, 1), (10, 5, 0)]
 
 
 def grey_jpeg(level):
