@@ -28,19 +28,15 @@ long texts are compared whole; empty tables give an empty result; extra columns
 
 from __future__ import annotations
 
-import json
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.strategy import small
-from .runtime import materialise, packed, partitions
+from .bitmaps import bitmap_of, in_bitmap, without_ids
+from .runtime import materialise, partitions
 
 WINDOW, SHORTEST, LITERAL = 12, 5, 5
 FORMS = 3
-#: Bits of a bitmap: so many for each entry, between these powers of two. The largest is 2 MB and comes to the driver once.
-BITS_EACH, LEAST_BITS, MOST_BITS = 64, 16, 24
 #: Spellings of each unit; a plural s is understood.
 UNITS = {
     "millimeter": "mm millimetre", "centimeter": "cm centimetre", "meter": "m metre", "kilometer": "km kilometre", "inch": "inches", "foot": "ft feet",
@@ -120,33 +116,6 @@ def _canonical(values: Column) -> Column:
     return F.transform(values, lambda v: F.when(v.startswith(UNIT), F.coalesce(F.try_element_at(table, v), v)).otherwise(v))
 
 
-def _places(h: Column, size: int) -> tuple[Column, Column]:
-    """Two places of a 64-bit hash in a bitmap of a power of two bits, from different bits of it."""
-    return h.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(h, 64 - MOST_BITS).bitwiseAND(F.lit(size - 1))
-
-
-def in_bitmap(bitmap: list[int], h: Column) -> Column:
-    """Whether both bits of a 64-bit hash are set; the bitmap is one constant of the plan."""
-    words = F.from_json(F.lit(json.dumps(bitmap)), "array<bigint>")
-
-    def held(place: Column) -> Column:
-        return F.call_function("shiftright", F.get(words, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-    one, two = _places(h, len(bitmap) * 64)
-    return held(one) & held(two)
-
-
-def bitmap_of(hashes: DataFrame, column: str, entries: int) -> list[int]:
-    """Bits set by a table of hashes, as 64-bit words; an aggregate by word, so its size and no count of rows bounds what is collected."""
-    power = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(BITS_EACH * max(entries, 1)))))
-    place = hashes.select(F.explode(F.array(*_places(F.col(column), 1 << power))).alias("place"))
-    bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
-    out = [0] * (1 << (power - 6))
-    for r in place.groupBy(F.shiftright("place", 6).alias("w")).agg(F.bit_or(bits).alias("b")).toLocalIterator():
-        out[r["w"]] = r["b"]
-    return out
-
-
 def windows(forms: DataFrame, key: str, sizes: list[int], whole: bool, bitmap: list[int] | None = None) -> DataFrame:
     """(key, form, size, pos, hash, words) of windows of (key, words0, words1, words2), arrays of each form's words. ``whole``: windows
     of ``sizes[0]`` words and, of shorter texts, the one that is the whole text; else windows of all sizes whose hash is in the bitmap."""
@@ -236,21 +205,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFr
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold an item; a row without doc_id goes if any such row holds one. Texts don't shuffle: the ids to drop are
-    broadcast where they are few, and beyond that rows whose id misses a bitmap of them stay where they are."""
-    bad = materialise(leaks(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "leaking")
-    rows = packed(docs, "doc_id")
-    drop = lambda d, b: d.join(b, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
-    n = bad.count()
-    if n <= BROADCAST_IDS:
-        return drop(rows, F.broadcast(bad))
-    marks = bitmap_of(bad.select(F.xxhash64("bad_id").alias("h")), "h", n)
-    maybe = in_bitmap(marks, F.xxhash64("doc_id"))
-    return rows.filter(~maybe).select("row.*").unionByName(drop(rows.filter(maybe), bad))
-
-
-#: Ids up to this number are broadcast, 8 bytes each.
-BROADCAST_IDS = 500_000
+    """docs without the rows that hold an item; a row without doc_id goes if any such row holds one."""
+    return without_ids(docs, leaks(docs, benchmark).select("doc_id"))
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

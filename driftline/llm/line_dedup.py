@@ -49,18 +49,27 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(explode, "doc_id long, t long, pos int, a long, b long")
 
 
+#: A line in 1 / HOT_SHARE of all pairs of line and document or more is hot. There are HOT_SHARE such lines at most, 32 bytes each.
+HOT_SHARE = 20_000
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept) for each row.
 
     Texts are read once for the hashes and once to be reassembled; between, only hashes move. Counts are combined on the map
-    side, so a line that a third of all documents hold is a row a task; the join back to such a line is one that adaptive
-    execution splits. The positions to drop meet their text by doc_id and text hash."""
+    side, so a line that a third of all documents hold is a row a task. Its keeper goes back to the lines by broadcast, as that of
+    every hot line; all others meet theirs by shuffle, where no key has more than 1 / HOT_SHARE of the pairs. The positions to drop
+    meet their text by doc_id and text hash."""
     lines = materialise(line_hashes(docs, min_chars), "lines").withColumn("known", F.coalesce("doc_id", F.lit(-(2**63))))
     seen = lines.groupBy("a", "b", "known").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count("one").alias("n"), F.max("known").alias("keeper"))
-    gone = (
-        lines.join(seen.filter(F.col("n") >= min_docs).select("a", "b", "keeper"), ["a", "b"])
-        .filter("known <> keeper").groupBy("known", "t").agg(F.collect_set("pos").alias("gone"))
-    )
+    seen = materialise(seen.filter(F.col("n") >= min_docs), "repeated-lines")
+    limit = max(min_docs, -(-(seen.agg(F.sum("n").alias("n")).first()["n"] or 0) // HOT_SHARE))
+    keepers = seen.select("a", "b", "keeper", (F.col("n") >= limit).alias("hot"))
+    hot, rest = (keepers.filter(c).drop("hot") for c in (F.col("hot"), ~F.col("hot")))
+    met = lines.join(F.broadcast(hot.withColumnRenamed("keeper", "hot_keeper")), ["a", "b"], "left")
+    kept_apart = met.filter(F.col("hot_keeper").isNotNull()).select("known", "t", "pos", F.col("hot_keeper").alias("keeper"))
+    others = met.filter(F.col("hot_keeper").isNull()).join(rest, ["a", "b"]).select("known", "t", "pos", "keeper")
+    gone = kept_apart.unionByName(others).filter("known <> keeper").groupBy("known", "t").agg(F.collect_set("pos").alias("gone"))
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("known"), F.xxhash64("text").alias("t"))
     own = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(own, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")

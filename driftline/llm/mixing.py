@@ -1,7 +1,8 @@
 """Mixing sources to target weights: floor(rate) copies of each document and one more by a hash-seeded Bernoulli draw.
 
 Defined results: a null source is a source of its own, last in order; a null text has size 0; a source whose documents have no
-words has target 0 and takes nothing; rows that share a doc_id draw alike; an empty table gives an empty result.
+words has target 0 and takes nothing; rows that share a doc_id draw alike, equal rows too; very long texts count whole; extra columns
+are kept, but for those that ``with_copies`` replaces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.strategy import small
 from .runtime import WORD_RE, materialise, n_words, packed
 
 WEIGHTS = (5, 2, 1)
@@ -45,17 +47,21 @@ def unit_draw(doc_id: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
+OWN = ("mix_source", "mix_source_size", "mix_target", "mix_copies")
+
+
 def with_copies(docs: DataFrame, **rule) -> DataFrame:
-    """docs, which must have mix_size, with mix_source_size, mix_target, mix_copies: how often the mix takes each row.
+    """docs, which must have mix_size, with mix_source_size, mix_target, mix_copies: how often the mix takes each row. Columns of docs
+    with these names are replaced.
 
-    Sources' sums are combined on the map side; the join back is by source against a table of one row a source, which Spark
-    broadcasts only under its own size threshold and which adaptive skew handling splits otherwise.
-    """
+    Sources' sums are combined on the map side and written, a row a source; documents meet them by broadcast if a count says that
+    they are few, so a source with a third of all rows does not come together anywhere."""
+    docs = docs.drop(*OWN)
     per = source_targets(docs.groupBy("source").agg(F.sum("mix_size").alias("source_size")), **rule)
-    per = per.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    per = materialise(per.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")), "targets")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(unit_draw(F.col("doc_id")) < rate - F.floor(rate), 1).otherwise(0)
-    return docs.join(per, F.col("source").eqNullSafe(F.col("mix_source")), "left").withColumn("mix_copies", copies.cast("int")).drop("mix_source")
+    return docs.join(small(per), F.col("source").eqNullSafe(F.col("mix_source")), "left").withColumn("mix_copies", copies.cast("int")).drop("mix_source")
 
 
 def mixed(docs: DataFrame, **rule) -> DataFrame:

@@ -12,7 +12,8 @@ at most and if they share one of the first n - ceil(t n) + 1 shingles in any fix
    2 |x and y| <= |x| + |y| - bits(bitmap x xor bitmap y). A tile sends a spanning forest of what passes, never all pairs.
 5. ``connected``: classes joined by what passed. True components lie inside these.
 6. ``verify``: inside each, breadth-first search by bitmap bound and exact sorted-array intersection; again a spanning forest
-   of true links. A component of over ``UNIT_SHINGLES`` is dealt out as all pairs of its blocks.
+   of true links. Groups of over ``TILE_MEMBERS`` and components of over ``UNIT_SHINGLES`` are cut into size bands, the bands into
+   blocks, and only blocks of one band or of neighbouring ones meet.
 
 So links, members and sets are spread over tasks by hashes, no step emits the pairs of a group, and each link between different
 sets is either tested or implied by a path of tested links.
@@ -24,16 +25,18 @@ empty result; extra columns are ignored or, in ``without_near_copies``, kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import components as connected
-from .runtime import materialise, packed, partitions
+from .bitmaps import may_hold, without_ids
+from .runtime import groups_for, materialise
 from .shingles import mix, shingle_sets
 
 K = 5
@@ -42,7 +45,7 @@ COMMON_IN_BLOCK, COMMON_KEPT = 4, 1 << 17
 BLOCK_SHINGLES = 1_500_000
 PAIRS_TO = 16
 SPREAD_FROM = 50_000
-TILE_MEMBERS = 8192
+TILE_MEMBERS = 4096
 UNIT_SHINGLES = 4_000_000
 
 
@@ -295,18 +298,30 @@ def forest(count: int, near) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks_of(rows: DataFrame, group: str, weight: str, most: int) -> DataFrame:
-    """rows with (k, block): a group of more than ``most`` has k blocks, each row is of one of them."""
-    total = rows.groupBy(group).agg(F.ceil(F.sum(weight) / most).cast("int").alias("k"))
-    return rows.join(total, group).withColumn("block", F.pmod(F.xxhash64("h1"), F.col("k")).cast("int"))
-
-
-def _dealt(rows: DataFrame, group: str, n_parts: int) -> DataFrame:
-    """rows with (gi, gj, unit) for (k, block): a group of several blocks goes out as all pairs of them, each row to those of its own."""
-    r = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    r = r.withColumn("gi", F.least("block", "other")).withColumn("gj", F.greatest("block", "other"))
-    r = r.filter((F.col("k") == 1) | (F.col("gi") != F.col("gj")))  # a pair of different blocks also tests each block itself
-    return r.withColumn("unit", F.pmod(F.xxhash64(group, "gi", "gj"), F.lit(n_parts)).cast("int")).drop("k", "block", "other")
+#: Bands of the tiles: sizes that may link are in one band or in neighbouring ones.
+def _wide_band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(DEN / NUM)).cast("long")
+
+
+def _dealt(rows: DataFrame, group: str, weight: Column, most: int, n_parts: int) -> DataFrame:
+    """rows, which have n and h1, with (gi, gj, unit). A group of ``most`` or less is one unit. A larger one is cut into size bands and
+    each band into blocks by hash; blocks of one band or of neighbouring bands go out as pairs, each row to the pairs of its block. Sets
+    in bands further apart cannot link, so these never meet."""
+    b = rows.withColumns({"band": _wide_band(F.col("n")), "weight": weight})
+    whole = b.groupBy(group).agg((F.sum("weight") <= most).alias("fits"))
+    per = b.groupBy(group, "band").agg(F.ceil(F.sum("weight") / most).cast("long").alias("k"))
+    beside = lambda name, step: per.select(group, (F.col("band") + step).alias("band"), F.col("k").alias(name))
+    r = b.join(whole, group).join(per, [group, "band"]).join(beside("below", 1), [group, "band"], "left").join(beside("above", -1), [group, "band"], "left")
+    blocks = lambda band, k: F.transform(F.when(k > 0, F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array().cast("array<bigint>")), lambda i: F.shiftleft(band, 32).bitwiseOR(i))
+    own = F.shiftleft("band", 32).bitwiseOR(F.pmod(F.xxhash64("h1"), F.col("k")))
+    every = F.concat(blocks(F.col("band"), F.col("k")), blocks(F.col("band") - 1, F.coalesce("below", F.lit(0).cast("long"))), blocks(F.col("band") + 1, F.coalesce("above", F.lit(0).cast("long"))))
+    none = F.lit(-1).cast("long")
+    r = r.withColumn("own", F.when(F.col("fits"), none).otherwise(own)).withColumn("other", F.explode(F.when(F.col("fits"), F.array(none)).otherwise(every)))
+    # A pair of different blocks also tests each block itself; a block without any other is a pair with itself.
+    alone = (F.col("k") == 1) & F.col("below").isNull() & F.col("above").isNull()
+    r = r.filter(F.col("fits") | (F.col("own") != F.col("other")) | alone)
+    r = r.withColumns({"gi": F.least("own", "other"), "gj": F.greatest("own", "other")})
+    return r.withColumn("unit", F.pmod(F.xxhash64(group, "gi", "gj"), F.lit(n_parts)).cast("int")).select(*rows.columns, "gi", "gj", "unit")
 
 
 def _groups(table: pa.Table, group: str) -> Iterator[pa.Table]:
@@ -336,8 +351,9 @@ def tiles(members: DataFrame, classes: DataFrame, n_parts: int) -> DataFrame:
             out.append((h[e[:, 0]], h[e[:, 1]]))
         return _edges(out)
 
-    dealt = _dealt(_blocks_of(members.withColumn("one", F.lit(1)), "g", "one", TILE_MEMBERS), "g", n_parts)
-    work = dealt.select("g", "gi", "gj", "unit", "h1").join(classes.select("h1", "n", "bits"), "h1")
+    sized = members.join(classes.select("h1", "n"), "h1").select("g", "h1", "n")
+    dealt = _dealt(sized, "g", F.lit(1), TILE_MEMBERS, n_parts)
+    work = dealt.select("g", "gi", "gj", "unit", "h1", "n").join(classes.select("h1", "bits"), "h1")
     return work.groupBy("unit").applyInArrow(run, "a long, b long")
 
 
@@ -383,11 +399,12 @@ def exact_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def verify(docs: DataFrame, candidates: DataFrame, n_parts: int) -> DataFrame:
-    """(a, b) true links, a spanning forest of each component, from candidates (rep, h1, h2, n, label)."""
+    """(a, b) true links, a spanning forest of each component, from candidates (rep, h1, h2, n, label), which are a written table."""
     # A merge join at every size: the candidates are a share of all documents, so they are never the side to broadcast.
-    own = _blocks_of(candidates, "label", "n", UNIT_SHINGLES).hint("merge")
-    texts = docs.select("doc_id", "text").join(own, F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
-    keep = ["label", "k", "block", "h1", "n"]
+    # Rows that are no candidate's by a bitmap of their ids don't move.
+    some = may_hold(docs.select("doc_id", "text"), candidates.select("rep"), candidates.count())
+    texts = some.join(candidates.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
+    keep = ["label", "h1", "n"]
 
     def shingled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -400,8 +417,8 @@ def verify(docs: DataFrame, candidates: DataFrame, n_parts: int) -> DataFrame:
                 yield pa.record_batch([*[rows.column(c) for c in keep], pa.array([s.tobytes() for s, ok in zip(sets, same) if ok], pa.binary())], names=[*keep, "shingles"])
 
     # Sets move once, to their unit. A doc_id with several rows may bring its set twice.
-    sets = texts.mapInArrow(shingled, "label long, k int, block int, h1 long, n long, shingles binary")
-    work = _dealt(sets, "label", n_parts)
+    sets = texts.mapInArrow(shingled, "label long, h1 long, n long, shingles binary")
+    work = sets.join(_dealt(candidates.select("label", "h1", "n"), "label", F.col("n"), UNIT_SHINGLES, n_parts).drop("n"), ["label", "h1"])
 
     def run(key, table):
         out = []
@@ -419,8 +436,7 @@ def verify(docs: DataFrame, candidates: DataFrame, n_parts: int) -> DataFrame:
 
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, first_copy): a row for each row of docs; first_copy is the smallest doc_id with this set."""
-    spark: SparkSession = docs.sparkSession
-    n_parts = partitions(spark) * 4
+    n_parts = groups_for(docs)
     signed = materialise(signatures(docs, *common_shingles(docs), n_parts), "signatures")
     rows = signed.filter("n IS NOT NULL").select("doc_id", "n", "h1", "h2", "bits")
     classes = materialise(
@@ -446,9 +462,9 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the smallest doc_id. Of rows that share it, all stay."""
-    stay = components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    return packed(docs, "doc_id").join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi").select("row.*")
+    """docs with one document of each component: the smallest doc_id. Of rows that share it, all stay. Texts stay where they are."""
+    stays = components(docs).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    return without_ids(docs, stays.filter(~F.col("stays")).select("doc_id"))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

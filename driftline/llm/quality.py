@@ -4,8 +4,8 @@ Each class has a mean and a covariance shrunk towards the pooled one and a scale
 difference of the two log densities, from Mahalanobis distances by Cholesky factors that are computed once and sent with the
 scoring function.
 
-Training gathers counts, sums and sums of products of each class, which partial aggregation brings to one row a class, so
-labels of any number are used whole; nothing is sampled.
+Training gathers counts, sums and sums of products of each class as whole numbers, which partial aggregation brings to one row a
+class, so labels of any number are used whole and every run gives the same scores; nothing is sampled.
 
 Defined results: a null or empty text has all statistics of an empty text and a score like any other; rows without a label, with
 a null label or held out are not learned from; a doc_id with several rows or labels counts once for each; without learned rows
@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import may_hold
 from .runtime import materialise
 
 FEATURES = (
     "log_words", "log_word_len", "symbols", "upper", "digits", "bars", "marked_words", "stops", "commas", "distinct",
     "top_word", "repeat_trigrams", "log_line_len", "repeat_lines", "short_words", "sentence_len", "long_words", "letters",
 )
-_SYMBOL = re.compile(r"[#$%&*@^~<>{}\[\]\\/=+_|!]")
 _MARKED = re.compile(r"[#$%&*@^~!?]{2,}(?=[\s.,]|$)")
 _SENTENCE = re.compile(r"[.!?]+(?=\s|$)")
 
@@ -40,38 +40,55 @@ def _logit(p: float) -> float:
     return math.log((p + 0.01) / (1.01 - p))
 
 
+_SYMBOL_BYTES = np.frombuffer(b"#$%&*@^~<>{}[]\\/=+_|!", np.uint8)
+_ASCII = re.compile(r"[\x00-\x7f]+")
+
+
 def features(text: str | None) -> list[float]:
     """Statistics of the whole text; shares as logits and sizes as logarithms, which are nearer to normal."""
     t = text or ""
     n = max(len(t), 1)
+    # Characters are counted by byte value; only those beyond ASCII are looked at one by one.
+    by = np.bincount(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
+    wide = "" if t.isascii() else _ASCII.sub("", t)
     w = t.split()
     k = max(len(w), 1)
+    sizes = np.fromiter(map(len, w), np.int64, len(w))
     low = t.lower().split()
     counts = Counter(low)
     lines = [x for x in t.split("\n") if x]
     grams = max(len(low) - 2, 1)
-    distinct_grams = len(set(zip(low, low[1:], low[2:]))) if len(low) > 2 else grams
-    letters = sum(map(str.isalpha, t)) if not t.isascii() else len(re.findall(r"[A-Za-z]+", t)) and sum(map(len, re.findall(r"[A-Za-z]+", t)))
-    upper = sum(map(str.isupper, t))
+    distinct_grams = grams
+    if len(low) > 2:
+        number = {x: i for i, x in enumerate(counts)}
+        code = np.fromiter(map(number.__getitem__, low), np.int64, len(low))
+        m = len(number)
+        if m < 2_000_000:
+            distinct_grams = len(np.unique((code[:-2] * m + code[1:-1]) * m + code[2:]))
+        else:  # the product of three would not fit
+            distinct_grams = len(set(zip(low, low[1:], low[2:])))
+    letters = int(by[65:91].sum() + by[97:123].sum()) + sum(map(str.isalpha, wide))
+    upper = int(by[65:91].sum()) + sum(map(str.isupper, wide))
+    digits = int(by[48:58].sum()) + sum(map(str.isdigit, wide))
     sentences = len(_SENTENCE.findall(t))
     return [
         math.log1p(len(w)),
-        math.log1p(sum(map(len, w)) / k),
-        _logit(min(1.0, len(_SYMBOL.findall(t)) / n)),
+        math.log1p(int(sizes.sum()) / k),
+        _logit(min(1.0, int(by[_SYMBOL_BYTES].sum()) / n)),
         _logit(upper / n),
-        _logit(sum(map(str.isdigit, t)) / n),
-        _logit(min(1.0, t.count("|") / k)),
+        _logit(digits / n),
+        _logit(min(1.0, int(by[124]) / k)),
         _logit(min(1.0, len(_MARKED.findall(t)) / k)),
         _logit(min(1.0, sentences / k)),
-        _logit(min(1.0, t.count(",") / k)),
+        _logit(min(1.0, int(by[44]) / k)),
         _logit(len(counts) / k),
         _logit(max(counts.values(), default=0) / k),
         _logit(1 - distinct_grams / grams),
         math.log1p(n / max(len(lines), 1)),
         _logit(1 - len(set(lines)) / max(len(lines), 1)),
-        _logit(sum(len(x) <= 3 for x in w) / k),
+        _logit(int((sizes <= 3).sum()) / k),
         math.log1p(len(w) / max(sentences, 1)),
-        _logit(sum(len(x) >= 12 for x in w) / k),
+        _logit(int((sizes >= 12).sum()) / k),
         _logit(letters / n),
     ]
 
@@ -115,22 +132,42 @@ class Discriminant:
         return 1 / (1 + np.exp(-gap))
 
 
+#: Statistics are learned in steps of this, as whole numbers: their sums are exact, so that order and retries change no digit.
+STEP = 2.0**-16
+
+
+def _moments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, n, sums) of each label in a batch: sums of all statistics and of the products of all pairs."""
+    d = len(FEATURES)
+    upper = np.triu_indices(d)
+    for part in parts:
+        for k in range(0, part.num_rows, 10_000):  # products below 2^42, so that sums fit
+            p = part.slice(k, 10_000)
+            x = np.rint(p.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d) / STEP).astype(np.int64)
+            label = p.column("label").to_numpy(zero_copy_only=False)
+            rows = [(v, x[label == v]) for v in (0, 1)]
+            rows = [(v, len(own), [*own.sum(0).tolist(), *(own.T @ own)[upper].tolist()]) for v, own in rows if len(own)]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["label", "n", "sums"])
+
+
 def fit(features_and_labels: DataFrame, shrink: float = 0.1, temper: float = 0.5) -> Discriminant | None:
     """From (x, label). Two rows, one a class, come to the driver."""
     d = len(FEATURES)
-    x = [F.element_at("x", i + 1) for i in range(d)]
-    terms = [F.sum(v).alias(f"s{i}") for i, v in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
-    rows = features_and_labels.filter(F.col("label").isin(0, 1)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), *terms).collect()
+    n_sums = d + d * (d + 1) // 2
+    known = features_and_labels.filter(F.col("label").isin(0, 1)).select("x", F.col("label").cast("int").alias("label"))
+    sums = known.mapInArrow(_moments, "label int, n long, sums array<bigint>").groupBy("label").agg(
+        F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i].cast("decimal(28,0)")) for i in range(n_sums)]).alias("sums"),
+    )
+    rows = sums.collect()
     if {r["label"] for r in rows} != {0, 1}:
         return None
     mean, cov, total = {}, {}, sum(r["n"] for r in rows)
     for r in rows:
-        m = np.array([r[f"s{i}"] for i in range(d)]) / r["n"]
+        n, v = r["n"], [int(x) for x in r["sums"]]
         c = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                c[i, j] = c[j, i] = r[f"p{i}_{j}"] / r["n"] - m[i] * m[j]
-        mean[r["label"]], cov[r["label"]] = m, c
+        for (i, j), p in zip(zip(*np.triu_indices(d)), v[d:]):
+            c[i, j] = c[j, i] = (n * p - v[i] * v[j]) / (n * n) * STEP * STEP  # whole numbers up to the division
+        mean[r["label"]], cov[r["label"]] = np.array([x / n for x in v[:d]]) * STEP, c
     return Discriminant(mean, cov, {r["label"]: r["n"] / total for r in rows}, shrink, temper)
 
 
@@ -161,9 +198,10 @@ def op5_quality(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the classifier rejects. Texts don't shuffle: the row is scored where it is read."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("label"))
-    x = materialise(with_features(docs.select("doc_id", "text"), ["doc_id"]), "quality")
-    model = fit(x.filter(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("_id")).select("x", "label"))
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("label")).filter(F.col("label").isNotNull() & F.col("_id").isNotNull())
+    # Only rows that may have a label are learned from, so only their statistics are made here.
+    own = may_hold(docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))), known.select("_id"), known.count())
+    model = fit(with_features(own, ["doc_id"]).join(known, F.col("doc_id") == F.col("_id")).select("x", "label"))
     if model is None:
         return docs
     names = docs.columns
