@@ -2,6 +2,12 @@
 benchmark items, mix sources to their target weights, deal out shards.
 
 Each stage works on all rows its predecessor kept and returns the columns of documents; the last adds shard and slot.
+
+Defined results: null and empty texts are scored like any other, are no copies of anything, hold no benchmark item, and have no words,
+so the mix takes them by their source's rate; very long texts are read whole; equal rows are near copies of one doc_id and go through
+together, and rows that share a doc_id draw alike in the mix; null doc_ids stay rows of their own until the near copies, where they go
+if a row with a doc_id is like them; an empty table gives an empty result; other columns are kept whatever their names, but for
+``shard`` and ``slot``, which are replaced.
 """
 
 from __future__ import annotations
@@ -33,8 +39,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = sharding.shard_rows(docs)
-    return out.withColumnsRenamed({"shard_no": "shard", "shard_slot": "slot"})
+    return sharding.shard_rows(docs, names=("shard", "slot"))
 
 
 STAGES = [
