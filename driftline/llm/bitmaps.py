@@ -1,4 +1,4 @@
-"""Sets of 64-bit hashes as bitmaps of a bounded size, so that rows which cannot meet a join are told where they are read."""
+"""Sets of 64-bit hashes as small bitmaps in the plan, and rows that are told by their ids without moving their texts."""
 
 from __future__ import annotations
 
@@ -10,32 +10,36 @@ from pyspark.sql import functions as F
 
 from .runtime import materialise, packed
 
-#: Bits for each entry, between these powers of two. The largest bitmap is 2 MB and comes to the driver once; with more entries than it has
-#: room for it lets more rows pass and loses none.
-BITS_EACH, LEAST_BITS, MOST_BITS = 64, 16, 24
+#: A bitmap's bits, as powers of two. The largest is 128 KB, and is one constant of the plan; with more entries than it has room for it
+#: lets more rows pass and loses none.
+LEAST_BITS, MOST_BITS = 16, 20
 #: Ids up to this number are broadcast, 8 bytes each.
 BROADCAST_IDS = 500_000
 
 
 def _places(h: Column, size: int) -> tuple[Column, Column]:
     """Two places of a 64-bit hash in a bitmap of a power of two bits, from different bits of it."""
-    return h.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(h, 64 - MOST_BITS).bitwiseAND(F.lit(size - 1))
+    return h.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(size - 1))
 
 
-def in_bitmap(bitmap: list[int], h: Column) -> Column:
-    """Whether both bits of a 64-bit hash are set; the bitmap is one constant of the plan."""
-    words = F.from_json(F.lit(json.dumps(bitmap)), "array<bigint>")
+def constant(bitmap: list[int]) -> Column:
+    return F.from_json(F.lit(json.dumps(bitmap)), "array<bigint>")
+
+
+def in_bitmap(words: Column, size: int, h: Column) -> Column:
+    """Whether both bits of a 64-bit hash are set in a bitmap of ``size`` words."""
 
     def held(place: Column) -> Column:
         return F.call_function("shiftright", F.get(words, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    one, two = _places(h, len(bitmap) * 64)
+    one, two = _places(h, size * 64)
     return held(one) & held(two)
 
 
-def bitmap_of(hashes: DataFrame, column: str, entries: int) -> list[int]:
+def bitmap_of(hashes: DataFrame, column: str, bits_each: int) -> list[int]:
     """Bits set by a table of hashes, as 64-bit words; an aggregate by word, so its size and no count of rows bounds what is collected."""
-    power = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(BITS_EACH * max(entries, 1)))))
+    entries = hashes.select(F.approx_count_distinct(column).alias("n")).first()["n"]
+    power = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(bits_each * max(entries, 1)))))
     place = hashes.select(F.explode(F.array(*_places(F.col(column), 1 << power))).alias("place"))
     bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
     out = [0] * (1 << (power - 6))
@@ -44,20 +48,17 @@ def bitmap_of(hashes: DataFrame, column: str, entries: int) -> list[int]:
     return out
 
 
-def may_hold(docs: DataFrame, ids: DataFrame, entries: int) -> DataFrame:
-    """The rows of docs whose doc_id may be one of ids (one column): all that are, and few others."""
-    marks = bitmap_of(ids.select(F.xxhash64(F.col(ids.columns[0]).cast("long")).alias("h")), "h", entries)
-    return docs.filter(in_bitmap(marks, F.xxhash64(docs["doc_id"].cast("long"))))
+def may_hold(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is one of ids (one column, a written table) where these are few enough to be broadcast; else all rows."""
+    if ids.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        return docs
+    own = ids.select(F.col(ids.columns[0]).alias("_wanted")).distinct()
+    return docs.join(F.broadcast(own), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is one of ids (one column; null is like any other). Texts don't shuffle: ids are broadcast where
-    they are few, and beyond that rows whose id misses a bitmap of them stay where they are."""
+    """docs without the rows whose doc_id is one of ids (one column; null is like any other). Texts don't shuffle where the ids are few
+    enough to be broadcast."""
     bad = materialise(ids.select(F.col(ids.columns[0]).alias("bad_id")).distinct(), "ids")
-    rows = packed(docs, "doc_id")
-    drop = lambda d, b: d.join(b, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
-    n = bad.count()
-    if n <= BROADCAST_IDS:
-        return drop(rows, F.broadcast(bad))
-    maybe = in_bitmap(bitmap_of(bad.select(F.xxhash64(F.col("bad_id").cast("long")).alias("h")), "h", n), F.xxhash64(F.col("doc_id").cast("long")))
-    return rows.filter(~maybe).select("row.*").unionByName(drop(rows.filter(maybe), bad))
+    few = bad.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return packed(docs, "doc_id").join(F.broadcast(bad) if few else bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")

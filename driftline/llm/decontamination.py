@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.strategy import small
-from .bitmaps import bitmap_of, in_bitmap, without_ids
+from .bitmaps import bitmap_of, constant, in_bitmap, without_ids
 from .runtime import materialise, partitions
 
 WINDOW, SHORTEST, LITERAL = 12, 5, 5
@@ -124,7 +124,7 @@ def windows(forms: DataFrame, key: str, sizes: list[int], whole: bool, bitmap: l
     empty = F.array().cast("array<struct<size:int,pos:int,hash:bigint>>")
 
     def made(k: int) -> Column:
-        h, ws, n = F.col(f"hashes{k}"), F.col(f"words{k}"), F.size(f"hashes{k}")
+        h, n = F.col(f"hashes{k}"), F.size(f"hashes{k}")
 
         def at(size: Column) -> Column:
             return F.coalesce(F.transform(
@@ -132,11 +132,15 @@ def windows(forms: DataFrame, key: str, sizes: list[int], whole: bool, bitmap: l
             ), empty)
 
         found = at(F.when((n >= SHORTEST) & (n < sizes[0]), n).otherwise(F.lit(sizes[0]))) if whole else F.concat(*[at(F.lit(s)) for s in sizes])
-        if bitmap is not None:
-            found = F.filter(found, lambda w: in_bitmap(bitmap, w["hash"]))
-        return F.transform(found, lambda w: F.struct(F.lit(k).alias("form"), w["size"].alias("size"), w["pos"].alias("pos"), w["hash"].alias("hash"), F.slice(ws, w["pos"], w["size"]).alias("words")))
-
-    out = d.select(key, F.explode(F.concat(*[made(k) for k in range(FORMS)])).alias("w")).select(key, "w.*")
+        return F.transform(found, lambda w: F.struct(F.lit(k).alias("form"), w["size"].alias("size"), w["pos"].alias("pos"), w["hash"].alias("hash")))
+
+    found = F.concat(*[made(k) for k in range(FORMS)])
+    if bitmap is not None:
+        words = constant(bitmap)
+        found = F.filter(found, lambda w: in_bitmap(words, len(bitmap), w["hash"]))
+    own = lambda w: F.coalesce(*[F.when(w["form"] == k, F.slice(f"words{k}", w["pos"], w["size"])) for k in range(FORMS)])
+    each = F.transform(found, lambda w: F.struct(w["form"].alias("form"), w["size"].alias("size"), w["pos"].alias("pos"), w["hash"].alias("hash"), own(w).alias("words")))
+    out = d.select(key, F.explode(each).alias("w")).select(key, "w.*")
     literal = F.size(F.filter("words", lambda w: ~is_slot(w)))
     return out.filter((F.col("form") == FORMS - 1) | (literal >= F.least(F.lit(LITERAL), F.col("size"))))
 
@@ -170,16 +174,18 @@ def _holds_anchor(text: Column, bitmap: list[int], kinds: list[int]) -> Column:
     """Whether a text has an anchor of one of the kinds. Words are made once."""
     tokens = F.split(F.regexp_replace(F.lower(_clean(text)), TOKENS, " "), " ")
 
-    def any_of(ts: Column) -> Column:
+    def any_of(both: Column) -> Column:
+        ts = both["tokens"]
+
         def here(w: Column, i: Column) -> Column:
             out = F.lit(False)
             for k in kinds:
-                out = out | in_bitmap(bitmap, _anchor_hash([w, *[F.get(ts, i + j) for j in range(1, k)]]))
+                out = out | in_bitmap(both["bits"], len(bitmap), _anchor_hash([w, *[F.get(ts, i + j) for j in range(1, k)]]))
             return out
 
         return F.array_contains(F.transform(ts, here), True)
 
-    return F.exists(F.array(tokens), any_of)
+    return F.exists(F.array(F.struct(tokens.alias("tokens"), constant(bitmap).alias("bits"))), any_of)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
@@ -194,8 +200,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFr
         return docs.select("doc_id").limit(0).crossJoin(benchmark.select("item_id").limit(0)).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("last_word"))
     texts = docs.select("doc_id", "text")
     if not stats["loose"]:  # every window has an anchor
-        texts = texts.filter(_holds_anchor(F.col("text"), bitmap_of(known, "anchor.hash", stats["n"]), sorted(stats["kinds"])))
-    found = windows(_formed(texts, "doc_id"), "doc_id", sorted(stats["sizes"], reverse=True), False, bitmap_of(known, "hash", stats["n"]))
+        texts = texts.filter(_holds_anchor(F.col("text"), bitmap_of(known, "anchor.hash", 512), sorted(stats["kinds"])))
+    found = windows(_formed(texts, "doc_id"), "doc_id", sorted(stats["sizes"], reverse=True), False, bitmap_of(known, "hash", 16))
     met = found.join(small(known.select("item_id", "form", "size", "hash", "item_slots")), ["form", "size", "hash"]).filter(values(F.col("words")) == F.col("item_slots"))
     by_form = met.groupBy("doc_id", "item_id", "form").agg(
         F.countDistinct("pos").alias("n_windows"), F.min("pos").cast("long").alias("first_word"), (F.max(F.col("pos") + F.col("size")) - 1).cast("long").alias("last_word"),

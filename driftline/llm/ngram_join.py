@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import components as connected
+from ..plans.strategy import small
 from .bitmaps import may_hold, without_ids
 from .runtime import groups_for, materialise
 from .shingles import mix, shingle_sets
@@ -308,10 +309,13 @@ def _dealt(rows: DataFrame, group: str, weight: Column, most: int, n_parts: int)
     each band into blocks by hash; blocks of one band or of neighbouring bands go out as pairs, each row to the pairs of its block. Sets
     in bands further apart cannot link, so these never meet."""
     b = rows.withColumns({"band": _wide_band(F.col("n")), "weight": weight})
-    whole = b.groupBy(group).agg((F.sum("weight") <= most).alias("fits"))
-    per = b.groupBy(group, "band").agg(F.ceil(F.sum("weight") / most).cast("long").alias("k"))
+    per = b.groupBy(group, "band").agg(F.sum("weight").alias("w"))
+    large = per.groupBy(group).agg(F.sum("w").alias("w")).filter(F.col("w") > most).select(group)
+    per = materialise(per.join(large, group, "left_semi").select(group, "band", F.ceil(F.col("w") / most).cast("long").alias("k")), "bands")
     beside = lambda name, step: per.select(group, (F.col("band") + step).alias("band"), F.col("k").alias(name))
-    r = b.join(whole, group).join(per, [group, "band"]).join(beside("below", 1), [group, "band"], "left").join(beside("above", -1), [group, "band"], "left")
+    cut = materialise(per.join(beside("below", 1), [group, "band"], "left").join(beside("above", -1), [group, "band"], "left"), "blocks")
+    # Only bands of large groups have a row here, so the members of a group don't come together to be dealt out.
+    r = b.join(small(cut), [group, "band"], "left").withColumn("fits", F.col("k").isNull())
     blocks = lambda band, k: F.transform(F.when(k > 0, F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array().cast("array<bigint>")), lambda i: F.shiftleft(band, 32).bitwiseOR(i))
     own = F.shiftleft("band", 32).bitwiseOR(F.pmod(F.xxhash64("h1"), F.col("k")))
     every = F.concat(blocks(F.col("band"), F.col("k")), blocks(F.col("band") - 1, F.coalesce("below", F.lit(0).cast("long"))), blocks(F.col("band") + 1, F.coalesce("above", F.lit(0).cast("long"))))
@@ -401,8 +405,8 @@ def exact_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def verify(docs: DataFrame, candidates: DataFrame, n_parts: int) -> DataFrame:
     """(a, b) true links, a spanning forest of each component, from candidates (rep, h1, h2, n, label), which are a written table."""
     # A merge join at every size: the candidates are a share of all documents, so they are never the side to broadcast.
-    # Rows that are no candidate's by a bitmap of their ids don't move.
-    some = may_hold(docs.select("doc_id", "text"), candidates.select("rep"), candidates.count())
+    # Where candidates are few, other rows don't move.
+    some = may_hold(docs.select("doc_id", "text"), candidates.select("rep"))
     texts = some.join(candidates.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
     keep = ["label", "h1", "n"]
 

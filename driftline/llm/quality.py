@@ -199,8 +199,8 @@ def op5_quality(spark, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the classifier rejects. Texts don't shuffle: the row is scored where it is read."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("label")).filter(F.col("label").isNotNull() & F.col("_id").isNotNull())
-    # Only rows that may have a label are learned from, so only their statistics are made here.
-    own = may_hold(docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))), known.select("_id"), known.count())
+    # Only rows with a label are learned from, so where these are few only their statistics are made here.
+    own = may_hold(docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))), known.select("_id"))
     model = fit(with_features(own, ["doc_id"]).join(known, F.col("doc_id") == F.col("_id")).select("x", "label"))
     if model is None:
         return docs
