@@ -13,6 +13,7 @@ from .functions import shapes
 from .functions import text as X
 from .model import CATALOG_SQL, POI_SQL, POINTS_SQL, djb2_sql
 from .operators import grid, index, pattern, selections, trajectories
+from .plans.storage import new_path
 from .plans.strategy import by_selectivity
 from .sources import catalog as cat
 from .sources import readers, writers
@@ -780,3 +781,159 @@ def set_intersect_all(spark, d):
 def append_union(spark, d):
     """SET-4: a bag."""
     return model.table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).unionByName(model.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")))
+
+
+# -- files: tables written as text to the shared folder and read back ----------------------------------------------------------
+
+
+def _local(ts, pattern: str):
+    """Epoch seconds as the logs' local time."""
+    return F.date_format(F.timestamp_seconds(ts + X.LOCAL_SECONDS), pattern)
+
+
+def _text_file(df: DataFrame, name: str, header: bool = False) -> str:
+    path = new_path(df.sparkSession, name)
+    df.write.option("header", header).csv(path)
+    return path
+
+
+@query("read_log7", f"WITH {P} SELECT tid, lon, lat, ts, state, speed, dir FROM points")
+def read_log7(spark, d):
+    """SRC-2, SRC-8."""
+    p = model.points(spark, d)
+    return readers.read_log7(spark, _text_file(p.select("tid", "lon", "lat", F.concat(_local(F.col("ts"), "yyyy-MM-dd HH:mm:ss"), F.lit(".250")), "state", "speed", "dir"), "log7"))
+
+
+@query("read_log4", f"WITH {P} SELECT tid, lon, lat, ts FROM points")
+def read_log4(spark, d):
+    """SRC-3, SRC-9."""
+    p = model.points(spark, d)
+    return readers.read_log4(spark, _text_file(p.select("tid", _local(F.col("ts"), "yyyy-MM-dd HH:mm:ss"), "lon", "lat"), "log4")).select("tid", "lon", "lat", "ts")
+
+
+@query("read_log_headed", f"WITH {P} SELECT tid, lon, lat, ts FROM points")
+def read_log_headed(spark, d):
+    """SRC-7, SRC-10: a header, a column that is skipped, and columns behind."""
+    p = model.points(spark, d)
+    return readers.read_log_headed(spark, _text_file(p.select(F.lit("x").alias("skipped"), _local(F.col("ts"), "dd/MM/yyyy HH:mm:ss").alias("time"), "tid", "lon", "lat"), "headed", header=True)).select("tid", "lon", "lat", "ts")
+
+
+@query("read_cell_points", f"WITH {P}, {_CP} SELECT cell, tid, ts FROM (SELECT *, lag(cell) OVER (PARTITION BY tid ORDER BY ts, seq) AS b FROM cp) WHERE b IS NULL OR b <> cell")
+def read_cell_points(spark, d):
+    """SRC-4, TRJ-3: cells of whole logs, saved without consecutive repeats, and read back."""
+    path = new_path(spark, "cells")
+    writers.save_cells(_cell_points(spark, d), path)
+    return readers.read_cell_points(spark, path)
+
+
+@query("read_poi", f"WITH p AS ({POI_SQL}) SELECT name, type, round(lon::FLOAT::DOUBLE, 4) AS lon, round(lat::FLOAT::DOUBLE, 4) AS lat FROM p WHERE type <> 'HOUSEHOLD'")
+def read_poi(spark, d):
+    """SRC-11: places of one category are written without coordinates, as lines that the reader drops."""
+    p = model.poi(spark, d).select("name", "type", F.when(F.col("type") != "HOUSEHOLD", F.col("lon")).alias("lon"), "lat")
+    return readers.read_poi(spark, _text_file(p, "poi")).select("name", "type", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("lon", "lat")])
+
+
+@query("read_catalog", f"WITH c AS ({CATALOG_SQL}) SELECT CAST(file_id AS VARCHAR) AS file_id, path FROM c")
+def read_catalog(spark, d):
+    """SRC-12."""
+    c = cat.read_catalog(spark, _text_file(model.catalog(spark, d).select("file_id", "path"), "catalog"))
+    return c.select(F.col("file_id").cast("string").alias("file_id"), "path")
+
+
+@query("catalog_insert", f"WITH c AS ({CATALOG_SQL}) SELECT CAST(file_id AS VARCHAR) AS file_id, min(path) AS path FROM (SELECT file_id, arg_min(path, seq) AS path FROM c GROUP BY file_id) GROUP BY file_id")
+def catalog_insert(spark, d):
+    """CAT-4: of a catalogue to which all its keys are added again with other paths the first paths count."""
+    c = model.catalog(spark, d)
+    more = c.withColumn("path", F.concat(F.lit("/again"), "path"))
+    return cat.earliest(cat.insert(c, more)).select(F.col("file_id").cast("string").alias("file_id"), "path")
+
+
+@query("count_lines", "SELECT count(*) AS n FROM lineitem")
+def count_lines(spark, d):
+    """SRC-16, SRC-19, AGG-10."""
+    n = readers.count_lines(spark, _text_file(model.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "lines"))
+    return spark.createDataFrame([(n,)], "n long")
+
+
+@query("list_files", "SELECT DISTINCT c_mktsegment AS type FROM customer")
+def list_files(spark, d):
+    """SRC-13 to SRC-15: folders of a partitioned table, found without reading a file."""
+    path = new_path(spark, "by-type")
+    model.poi(spark, d).write.partitionBy("type").csv(path)
+    return readers.list_files(spark, path).select(F.regexp_extract("path", "type=([^/]+)/", 1).alias("type")).distinct()
+
+
+@query("read_pipe_lines", "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem")
+def read_pipe_lines(spark, d):
+    """SRC-18."""
+    path = new_path(spark, "pipes")
+    model.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").write.option("sep", "|").csv(path)
+    f = readers.read_pipe_lines(spark, path, ["k", "n", "flag"])
+    return f.select(F.col("k").cast("long").alias("l_orderkey"), F.col("n").cast("int").alias("l_linenumber"), F.col("flag").alias("l_returnflag"))
+
+
+# -- more functions and indexes --------------------------------------------------------------------------------------------
+
+
+@query("flagged", f"WITH {P} SELECT seq, tid FROM points WHERE state = 1")
+def flagged(spark, d):
+    """SEL-10."""
+    return selections.flagged(model.points(spark, d), "state").select("seq", "tid")
+
+
+@query("clustered", f"WITH {P}, {_CP} SELECT tid, seq, cell, ts FROM cp")
+def clustered(spark, d):
+    """IDX-4."""
+    return index.clustered(_cell_points(spark, d)).select("tid", "seq", "cell", "ts")
+
+
+@query("quadtree_search_time", f"WITH {P}, b AS (SELECT {_DAY} AS tid, min(lon) AS min_x, min(lat) AS min_y, max(lon) AS max_x, max(lat) AS max_y, min(ts) AS min_ts, max(ts) AS max_ts FROM points GROUP BY {_DAY}) SELECT tid FROM b WHERE min_x < 116.25 AND max_x > 116.2 AND min_y < 39.8 AND max_y > 39.7 AND max_ts > {T0} AND min_ts < {T1}")
+def quadtree_search_time(spark, d):
+    """QRY-4 with times."""
+    p = _days(spark, d)
+    boxes = trajectories.bounding_boxes(p).join(p.groupBy("tid").agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts")), "tid")
+    return index.quadtree_search(index.quadtree(boxes, (116.0, 39.5, 117.0, 40.5)), 116.2, 39.7, 116.25, 39.8, T0, T1)
+
+
+def _point_quadtree_sql(depth: int = 5, most: int = 16) -> str:
+    ctes = [f"k0 AS (SELECT seq AS id, '' AS path, lon - 116.0::DOUBLE AS x, lat - 39.5::DOUBLE AS y, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS y0 FROM points)"]
+    parts = []
+    for k in range(depth):
+        w = 0.5 ** (k + 1)
+        ctes.append(f"c{k} AS (SELECT *, count(*) OVER (PARTITION BY path) AS n, x >= x0 + {w}::DOUBLE AS e, y >= y0 + {w}::DOUBLE AS u FROM k{k})")
+        parts.append(f"SELECT id, path FROM c{k} WHERE n <= {most}")
+        ctes.append(f"k{k + 1} AS (SELECT id, path || CASE WHEN u THEN CASE WHEN e THEN '1' ELSE '0' END ELSE CASE WHEN e THEN '3' ELSE '2' END END AS path, x, y, CASE WHEN e THEN x0 + {w}::DOUBLE ELSE x0 END AS x0, CASE WHEN u THEN y0 + {w}::DOUBLE ELSE y0 END AS y0 FROM c{k} WHERE n > {most})")
+    return f"WITH {P}, {', '.join(ctes)} {' UNION ALL '.join(parts)} UNION ALL SELECT id, path FROM k{depth}"
+
+
+@query("point_quadtree", _point_quadtree_sql())
+def point_quadtree(spark, d):
+    """IDX-18."""
+    p = model.points(spark, d).select(F.col("seq").alias("id"), (F.col("lon") - 116.0).alias("x"), (F.col("lat") - 39.5).alias("y"))
+    return index.point_quadtree(p, 5, 16)
+
+
+@query("cell_square", f"WITH {P}, {_CP}, c AS ({C.ij_sql('SELECT DISTINCT cell FROM cp', LEVEL)}) SELECT cell, (_i + 0.5::DOUBLE) / {1 << LEVEL} AS s, (_j + 0.5::DOUBLE) / {1 << LEVEL} AS t, 1.0::DOUBLE / {1 << LEVEL} AS size FROM c")
+def cell_square(spark, d):
+    """FN-17."""
+    c = _cell_points(spark, d).select("cell").distinct().withColumn("m", C.center_st(F.col("cell"), LEVEL))
+    return c.select("cell", "m.s", "m.t", F.lit(C.size_st(LEVEL)).alias("size"))
+
+
+@query("distinct_per_key", f"WITH {P} SELECT tid, count(DISTINCT speed) AS n FROM points GROUP BY tid")
+def distinct_per_key(spark, d):
+    """AGG-12."""
+    return model.points(spark, d).groupBy("tid").agg(F.countDistinct("speed").alias("n"))
+
+
+@query("format_double", "SELECT c_custkey, substr(regexp_replace(CAST(c_acctbal::DECIMAL(38,10) AS VARCHAR), '\\.?0+$', ''), 1, 8) AS s FROM customer")
+def format_double(spark, d):
+    """FN-9: cut after eight characters."""
+    return model.table(spark, d, "customer").select("c_custkey", X.format_double(F.col("c_acctbal"), legacy=True).alias("s"))
+
+
+@query("normal_cdf", "SELECT c_custkey, round((SELECT sum(exp(-(x * x) / 2) / sqrt(2 * pi()) * 0.01) FROM (SELECT -10.0::DOUBLE + k * 0.01::DOUBLE AS x FROM range(0, greatest(floor((v + 10.0::DOUBLE) / 0.01::DOUBLE), 0)::BIGINT) t(k))), 6) AS cdf FROM (SELECT c_custkey, (c_custkey % 7 - 3)::DOUBLE / 2 + 0.003::DOUBLE AS v FROM customer)")
+def normal_cdf(spark, d):
+    """FN-29 by the rectangle rule."""
+    v = (F.col("c_custkey") % 7 - 3).cast("double") / 2 + 0.003
+    return model.table(spark, d, "customer").select("c_custkey", F.round(G.normal_cdf(v), 6).alias("cdf"))
