@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import may_hold
+from .bitmaps import BROADCAST_IDS
 from .runtime import materialise
 
 FEATURES = (
@@ -93,10 +93,21 @@ def features(text: str | None) -> list[float]:
     ]
 
 
+#: Texts that are Python strings at once.
+SLICE = 512
+
+
+def matrix(texts: pa.Array) -> np.ndarray:
+    """A row of FEATURES for each text."""
+    rows = [features(t) for k in range(0, len(texts), SLICE) for t in texts.slice(k, SLICE).to_pylist()]
+    return np.array(rows, np.float64).reshape(len(texts), len(FEATURES))
+
+
 def _stats(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        rows = [features(t) for t in part.column("text").to_pylist()]
-        yield pa.record_batch([part.column("row"), pa.array(rows, pa.list_(pa.float64()))], names=["row", "x"])
+        x = matrix(part.column("text"))
+        at = pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32))
+        yield pa.record_batch([part.column("row"), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["row", "x"])
 
 
 def with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -137,24 +148,25 @@ STEP = 2.0**-16
 
 
 def _moments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, n, sums) of each label in a batch: sums of all statistics and of the products of all pairs."""
+    """(label, n, sums) of each label in a batch, from x or from texts: sums of all statistics and of the products of all pairs."""
     d = len(FEATURES)
     upper = np.triu_indices(d)
     for part in parts:
         for k in range(0, part.num_rows, 10_000):  # products below 2^42, so that sums fit
             p = part.slice(k, 10_000)
-            x = np.rint(p.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d) / STEP).astype(np.int64)
+            found = matrix(p.column("text")) if "text" in part.schema.names else p.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            x = np.rint(found / STEP).astype(np.int64)
             label = p.column("label").to_numpy(zero_copy_only=False)
             rows = [(v, x[label == v]) for v in (0, 1)]
             rows = [(v, len(own), [*own.sum(0).tolist(), *(own.T @ own)[upper].tolist()]) for v, own in rows if len(own)]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["label", "n", "sums"])
 
 
-def fit(features_and_labels: DataFrame, shrink: float = 0.1, temper: float = 0.5) -> Discriminant | None:
-    """From (x, label). Two rows, one a class, come to the driver."""
+def fit(labelled: DataFrame, shrink: float = 0.1, temper: float = 0.5) -> Discriminant | None:
+    """From (x, label) or (text, label). Two rows, one a class, come to the driver."""
     d = len(FEATURES)
     n_sums = d + d * (d + 1) // 2
-    known = features_and_labels.filter(F.col("label").isin(0, 1)).select("x", F.col("label").cast("int").alias("label"))
+    known = labelled.filter(F.col("label").isin(0, 1)).select(labelled.columns[0], F.col("label").cast("int").alias("label"))
     sums = known.mapInArrow(_moments, "label int, n long, sums array<bigint>").groupBy("label").agg(
         F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i].cast("decimal(28,0)")) for i in range(n_sums)]).alias("sums"),
     )
@@ -199,16 +211,18 @@ def op5_quality(spark, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the classifier rejects. Texts don't shuffle: the row is scored where it is read."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("label")).filter(F.col("label").isNotNull() & F.col("_id").isNotNull())
-    # Only rows with a label are learned from, so where these are few only their statistics are made here.
-    own = may_hold(docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))), known.select("_id"))
-    model = fit(with_features(own, ["doc_id"]).join(known, F.col("doc_id") == F.col("_id")).select("x", "label"))
+    # Only rows with a label are learned from. Where these are few, texts meet their labels by broadcast, and one Python function
+    # makes statistics and sums; else statistics move and not texts.
+    own = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
+    few = known.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    x = own if few else with_features(own, ["doc_id"])
+    model = fit(x.join(F.broadcast(known) if few else known, F.col("doc_id") == F.col("_id")).select("text" if few else "x", "label"))
     if model is None:
         return docs
     names = docs.columns
 
     def good(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            xs = np.array([features(t) for t in part.column("text").to_pylist()]).reshape(part.num_rows, len(FEATURES))
-            yield part.filter(pa.array(model.score(xs) >= threshold))
+            yield part.filter(pa.array(model.score(matrix(part.column("text"))) >= threshold))
 
     return docs.mapInArrow(good, docs.schema).select(*names)

@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,11 +106,15 @@ def shard_rows(docs: DataFrame, shards: int = 8, virtual: int = 64, slack: float
         starts[k] = counts[k[0]]
         counts[k[0]] += tally[k]
     ranges = walk(counts, nodes, shards, slack)
-    cells = spark.createDataFrame([(*k, v) for k, v in starts.items()], "_arc int, _cell int, _start long")
+    # Arrow tables become local relations; lists of rows would start Python workers.
+    cells = spark.createDataFrame(pa.table({
+        "_arc": pa.array([a for a, _ in starts], pa.int32()), "_cell": pa.array([c for _, c in starts], pa.int32()), "_start": pa.array(list(starts.values()), pa.int64()),
+    }))
     runs: dict[int, list] = {}
     for arc, a, b, s, slot in ranges:
-        runs.setdefault(arc, []).append((a, b, s, slot))
-    table = spark.createDataFrame([(k, v) for k, v in runs.items()], "_arc int, _runs array<struct<a:long,b:long,s:int,slot:long>>")
+        runs.setdefault(arc, []).append({"a": a, "b": b, "s": s, "slot": slot})
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("s", pa.int32()), ("slot", pa.int64())]))
+    table = spark.createDataFrame(pa.table({"_arc": pa.array(list(runs), pa.int32()), "_runs": pa.array(list(runs.values()), kind)}))
     # At most CELLS + shards * virtual rows and as many runs: bounded whatever the input.
     w = Window.partitionBy("_arc", "_cell").orderBy("_point", "_id", "_crc")
     ranked = placed.withColumn("_n", F.row_number().over(w)).join(F.broadcast(cells), ["_arc", "_cell"]).join(F.broadcast(table), "_arc")
