@@ -167,7 +167,7 @@ def bulge(level: int) -> float:
 def cover(spark: SparkSession, left: float, bottom: float, right: float, top: float, level: int, inside: bool = False) -> DataFrame:
     """GEO-8: (cell) of a level whose rectangle meets a region, by subdivision from the six faces, four levels at once; ``inside``: of
     these, the cells that lie in it (an interior covering)."""
-    now = spark.createDataFrame([((f << 61) | (1 << 60) if f < 4 else ((f << 61) | (1 << 60)) - 2**64,) for f in range(6)], "cell long")
+    now = spark.range(6).select(F.shiftleft("id", 61).bitwiseOR(F.lit(1 << 60)).alias("cell"))
     for k in [*range(4, level, 4), level]:
         step = 1 << (60 - 2 * k)
         kids = F.sequence(C.range_min(F.col("cell")) + (step - 1), C.range_max(F.col("cell")) - (step - 1), F.lit(2 * step))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,5 +42,5 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     for k, n in sorted((r["k"], r["n"]) for r in held.groupBy(part.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()):
         starts.append((k, at))
         at += n
-    table = spark.createDataFrame(starts, "_part long, _start long")
+    table = spark.createDataFrame(pa.table({"_part": pa.array([k for k, _ in starts], pa.int64()), "_start": pa.array([n for _, n in starts], pa.int64())}))
     return held.join(F.broadcast(table), part == F.col("_part")).select("row.*", (F.col("_start") + inside + 1).alias(name))

@@ -126,7 +126,7 @@ _WANT = f"SELECT DISTINCT {djb2_sql('k')} AS file_id, k FROM (SELECT strftime(o_
 def _wanted(spark, d):
     k = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.col("o_custkey").cast("string"))
     o = model.table(spark, d, "orders").filter("o_orderkey % 100 = 0").select(k.alias("k"))
-    return o.union(spark.createDataFrame([("19000101X",)], "k string")).distinct().withColumn("file_id", cat.djb2(F.col("k")))
+    return o.union(spark.range(1).select(F.lit("19000101X").alias("k"))).distinct().withColumn("file_id", cat.djb2(F.col("k")))
 
 
 @query("catalog_lookup", f"WITH c AS ({CATALOG_SQL}), w AS ({_WANT}) SELECT k, arg_min(path, seq) AS path FROM w JOIN c USING (file_id) GROUP BY k")
@@ -852,7 +852,7 @@ def catalog_insert(spark, d):
 def count_lines(spark, d):
     """SRC-16, SRC-19, AGG-10."""
     n = readers.count_lines(spark, _text_file(model.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "lines"))
-    return spark.createDataFrame([(n,)], "n long")
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"))
 
 
 @query("list_files", "SELECT DISTINCT c_mktsegment AS type FROM customer")
