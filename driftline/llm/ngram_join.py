@@ -3,8 +3,9 @@
 Documents with one shingle set are one class. Two classes can only reach the threshold t if their sizes differ by a factor of t
 at most and if they share one of the first n - ceil(t n) + 1 shingles in any fixed order of all shingles. The steps:
 
-1. ``common_shingles``: shingles that stand out in some block of documents, to be last in the order. This only steers which
-   shingles meet; the result is the same with any such table, so its bound loses nothing.
+1. ``common_shingles``: shingles that stand out in some block of documents, to be last in the order, and a bitmap of those that many
+   documents would lead with, to be behind all others: a phrase of many documents makes no group where they have rarer ones. Both
+   only steer which shingles meet; the result is the same with any such tables, so their bounds lose nothing.
 2. ``signatures``: for each row its set's size, digest and bitmap; and the leading shingles, packed by hash partition.
 3. ``meet``: classes that share a leading shingle. Up to ``PAIRS_TO`` of them and in fitting size bands are pairs at once; the
    members of larger groups fetch their bitmaps first.
@@ -43,6 +44,8 @@ from .shingles import mix, shingle_sets
 K = 5
 NUM, DEN = 80, 100  # links: DEN * intersection >= NUM * union
 COMMON_IN_BLOCK, COMMON_KEPT = 4, 1 << 17
+#: Shingles that so many documents would lead with are heavy; their bitmap has 16 bits for each, 2^HEAVY_BITS (8 MB) at most.
+HEAVY_FROM, HEAVY_BITS = 10, 26
 BLOCK_SHINGLES = 1_500_000
 PAIRS_TO = 16
 SPREAD_FROM = 50_000
@@ -99,48 +102,94 @@ def band(n: np.ndarray) -> np.ndarray:
 BANDS_APART = int(np.ceil(np.log(DEN / NUM) / np.log(1.05))) + 1
 
 
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by how common they are, up to COMMON_KEPT hashes: those in COMMON_IN_BLOCK different sets of one block or more; and
-    those of them that were met SPREAD_FROM times or more."""
+def _take(n: int) -> int:
+    """How many leading shingles a set of n must show."""
+    return n - -(-NUM * n // DEN) + 1
+
+
+def _by_part(columns: tuple[np.ndarray, ...], n_parts: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Columns, of which the first is shingles, by the hash partition of these: where each partition starts, and the columns in its order."""
+    part = (mix(columns[0]) >> np.uint64(32)).astype(np.int64) % n_parts
+    by = np.argsort(part, kind="stable")
+    return np.searchsorted(part[by], np.arange(n_parts + 1)), [c[by] for c in columns]
+
+
+def common_shingles(docs: DataFrame, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by how common they are, up to COMMON_KEPT hashes: those in COMMON_IN_BLOCK different sets of one block or more; those of
+    them that were met SPREAD_FROM times or more; and the bitmap of heavy ones, by the low bits of ``mix``.
+
+    For the bitmap, half as many shingles again as a set must show are counted, by hash partition: each once a block, with its count."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _blocks(parts):
             every = [s for s in {digest(s): s for s in sets if len(s)}.values()]
-            if every:
-                h, n = np.unique(np.concatenate(every), return_counts=True)
-                h, n = h[n >= COMMON_IN_BLOCK], n[n >= COMMON_IN_BLOCK]
-                yield pa.record_batch([pa.array(_signed(h)), pa.array(n)], names=["h", "n"])
-
-    found = docs.select("doc_id", "text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "h").limit(COMMON_KEPT).toArrow()
+            if not every:
+                continue
+            h, n = np.unique(np.concatenate(every), return_counts=True)
+            h, n = h[n >= COMMON_IN_BLOCK], n[n >= COMMON_IN_BLOCK]
+            t, m = np.unique(np.concatenate([s[: _take(len(s)) * 3 // 2] for s in every]), return_counts=True)
+            (h_of, h), (t_of, t) = (_by_part(x, n_parts) for x in ((h, n), (t, np.minimum(m, 255).astype(np.uint8))))
+            t = (mix(t[0]) & np.uint64(0xFFFFFFFF)).astype(np.uint32), t[1]
+            full = [k for k in range(n_parts) if t_of[k + 1] > t_of[k] or h_of[k + 1] > h_of[k]]
+            blobs = lambda edge, cols: pa.array([b"".join(c[edge[k] : edge[k + 1]].tobytes() for c in cols) for k in full], pa.binary())
+            yield pa.record_batch([pa.array(full, pa.int32()), blobs(h_of, h), blobs(t_of, t)], names=["part", "often", "seen"])
+
+    def total(key, table):
+        def summed(column, kind, width):
+            kinds = np.dtype(kind), np.dtype(width)
+            own = [(x, len(x) // (kinds[0].itemsize + kinds[1].itemsize)) for x in table.column(column).to_pylist()]
+            what, at = np.unique(np.concatenate([np.frombuffer(x, kinds[0], n) for x, n in own]), return_inverse=True)
+            return what, np.bincount(at, np.concatenate([np.frombuffer(x, kinds[1], n, n * kinds[0].itemsize) for x, n in own]), len(what)).astype(np.int64)
+
+        (h, n), (t, m) = summed("often", np.uint64, np.int64), summed("seen", np.uint32, np.uint8)
+        t = t[m >= HEAVY_FROM].astype(np.int64)
+        return pa.table({"h": pa.concat_arrays([pa.array(_signed(h)), pa.nulls(len(t), pa.int64())]), "n": pa.concat_arrays([pa.array(n), pa.nulls(len(t), pa.int64())]), "t": pa.concat_arrays([pa.nulls(len(h), pa.int64()), pa.array(t)])})
+
+    counted = docs.select("doc_id", "text").mapInArrow(count, "part int, often binary, seen binary").groupBy("part").applyInArrow(total, "h long, n long, t long")
+    counted = materialise(counted, "counted")
+    rows = counted.filter("h IS NOT NULL").select("h", "n").orderBy(F.desc("n"), "h").limit(COMMON_KEPT).toArrow()
     h, n = rows.column("h").to_numpy().view(np.uint64)[::-1].copy(), rows.column("n").to_numpy()[::-1]
-    return h, h[n >= SPREAD_FROM]
+    many = counted.filter("t IS NOT NULL").select("t")
+    size = 1 << min(HEAVY_BITS, max(16, (16 * many.count()).bit_length()))
+    place = F.col("t").bitwiseAND(F.lit(size - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = many.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return h, h[n >= SPREAD_FROM], bits.view(np.uint64)
 
 
 class Order:
-    """Rare shingles by hash, then common ones from the least common on."""
+    """Rare shingles by hash, then heavy ones by hash, then common ones from the least common on."""
 
-    def __init__(self, common: np.ndarray) -> None:
+    def __init__(self, common: np.ndarray, heavy: np.ndarray) -> None:
+        self.heavy = heavy
         by_hash = np.argsort(common, kind="stable")
         self.sorted, self.rank = common[by_hash], by_hash  # each hash and its place in `common`
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(common & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
+    def light_first(self, s: np.ndarray, take: int) -> np.ndarray:
+        at = mix(s) & np.uint64(64 * len(self.heavy) - 1)
+        heavy = (self.heavy[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        light = s[~heavy]
+        return light[:take] if len(light) >= take else np.concatenate([light, s[heavy][: take - len(light)]])
+
     def leading(self, s: np.ndarray) -> np.ndarray:
         n = len(s)
-        take = n - -(-NUM * n // DEN) + 1
+        take = _take(n)
         if not len(self.sorted):
-            return s[:take]
+            return self.light_first(s, take)
         maybe = np.flatnonzero(self.seen[(s & np.uint64((1 << 20) - 1)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.sorted, s[maybe]), len(self.sorted) - 1)
         hit = self.sorted[at] == s[maybe]
         if not hit.any():
-            return s[:take]
+            return self.light_first(s, take)
         common = np.zeros(n, bool)
         common[maybe[hit]] = True
-        rare = s[~common]
+        rare = self.light_first(s[~common], take)
         if len(rare) >= take:
-            return rare[:take]
+            return rare
         last = s[maybe[hit]][np.argsort(self.rank[at[hit]], kind="stable")]
         return np.concatenate([rare, last[: take - len(rare)]])
 
@@ -148,13 +197,13 @@ class Order:
 SIGNED = "doc_id long, n long, h1 long, h2 long, bits binary, part int, lead binary"
 
 
-def signatures(docs: DataFrame, common: np.ndarray, spread: np.ndarray, n_parts: int) -> DataFrame:
+def signatures(docs: DataFrame, common: np.ndarray, spread: np.ndarray, heavy: np.ndarray, n_parts: int) -> DataFrame:
     """Rows of two kinds: a document's (doc_id, n, h1, h2, bits), and (part, lead): packed leading shingles of a block. Members of
     the groups that are known to be very large (``spread``) don't gather in a partition: they are in part -1, as (g, h1)."""
     far = np.sort(mix(spread))
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(common)
+        order = Order(common, heavy)
         for ids, sets in _blocks(parts):
             h1, h2, n = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64), np.fromiter(map(len, sets), np.int64, len(sets))
             bits: list[bytes | None] = []
@@ -199,7 +248,10 @@ def signatures(docs: DataFrame, common: np.ndarray, spread: np.ndarray, n_parts:
 
 
 def meet(lead: DataFrame) -> DataFrame:
-    """(a, b, g): with g null a pair of classes, else class a in the large group g."""
+    """(a, b, g): with g null a pair of classes, else class a in the large group g.
+
+    A group falls apart where its sizes have a gap that no link spans. Large groups are named by their least class and so merged with
+    all that share it: classes that are alike meet in many groups of nearly the same members, and go out once for most of them."""
 
     def run(key, table):
         part = key[0].as_py()
@@ -210,11 +262,11 @@ def meet(lead: DataFrame) -> DataFrame:
             hs.append(np.frombuffer(blob, np.uint64, n, 4 * n))
             bs.append(np.frombuffer(blob, np.uint16, n, 12 * n))
         t, h, b = np.concatenate(ts), np.concatenate(hs), np.concatenate(bs).astype(np.int32)
-        by = np.lexsort((h, t))
+        by = np.lexsort((h, b, t))
         t, h, b = t[by], h[by], b[by]
         own = np.concatenate([[True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])])
         t, h, b = t[own], h[own], b[own]
-        at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        at = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (np.diff(b) > BANDS_APART)]))
         n = np.diff(np.concatenate([at, [len(t)]]))
         left, right = [], []
         for s in range(2, PAIRS_TO + 1):
@@ -228,10 +280,11 @@ def meet(lead: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left else np.empty((0, 2), np.uint64)
         big = np.flatnonzero(n > PAIRS_TO)
         rows = np.concatenate([np.arange(at[k], at[k] + n[k]) for k in big]) if len(big) else np.empty(0, np.int64)
-        g = (np.int64(part) << 32) | t[rows].astype(np.int64)
-        a = np.concatenate([_signed(np.ascontiguousarray(pairs[:, 0])), _signed(np.ascontiguousarray(h[rows]))])
+        members = np.unique(np.stack([np.repeat(np.minimum.reduceat(h, at)[big], n[big]), h[rows]], 1), axis=0)
+        g, own = (_signed(np.ascontiguousarray(members[:, k])) for k in (0, 1))
+        a = np.concatenate([_signed(np.ascontiguousarray(pairs[:, 0])), own])
         return pa.table({
-            "a": pa.array(a), "b": pa.concat_arrays([pa.array(_signed(np.ascontiguousarray(pairs[:, 1]))), pa.nulls(len(rows), pa.int64())]),
+            "a": pa.array(a), "b": pa.concat_arrays([pa.array(_signed(np.ascontiguousarray(pairs[:, 1]))), pa.nulls(len(g), pa.int64())]),
             "g": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(g)]),
         })
 
@@ -441,7 +494,7 @@ def verify(docs: DataFrame, candidates: DataFrame, n_parts: int) -> DataFrame:
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, first_copy): a row for each row of docs; first_copy is the smallest doc_id with this set."""
     n_parts = groups_for(docs)
-    signed = materialise(signatures(docs, *common_shingles(docs), n_parts), "signatures")
+    signed = materialise(signatures(docs, *common_shingles(docs, n_parts), n_parts), "signatures")
     rows = signed.filter("n IS NOT NULL").select("doc_id", "n", "h1", "h2", "bits")
     classes = materialise(
         rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes",

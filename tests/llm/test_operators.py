@@ -68,6 +68,22 @@ def test_join_in_large_groups_and_blocks(spark, monkeypatch):
         assert got == {r[0]: c for r, c in zip(rows, want)}
 
 
+def test_members_of_large_groups_do_not_grow_with_shared_shingles(spark):
+    """A phrase of 40 unlike documents makes no group; 40 near copies go to few groups, not to one for each shingle they share."""
+    phrase, base = "seen in all of these", [f"b{k}" for k in range(300)]
+    rows = [(i, " ".join([*(f"u{i}_{k}" for k in range(60)), phrase]), "en", "a") for i in range(40)]
+    rows += [(100 + i, " ".join(f"e{i}" if k == 7 * i else w for k, w in enumerate(base)), "en", "a") for i in range(40)]
+    docs = K.documents(spark, rows).coalesce(1)
+    signed = ngram_join.signatures(docs, *ngram_join.common_shingles(docs, 4), 4)
+    met = ngram_join.meet(signed.filter("part IS NOT NULL").select("part", "lead")).distinct().collect()
+    of = {r.h1: r.doc_id for r in signed.filter("n > 0").collect()}
+    members = [of[r.a] for r in met if r.g is not None]
+    assert set(members) == set(range(100, 140)) and len(members) <= 3 * 40
+    assert all(of[r.a] >= 100 for r in met)
+    _, want = K.jaccard_components(rows)
+    assert {r.doc_id: r.component_id for r in ngram_join.components(docs).collect()} == {r[0]: c for r, c in zip(rows, want)}
+
+
 def test_bit_counts_bound_overlaps_from_above():
     rng = np.random.default_rng(1)
     for _ in range(50):
