@@ -103,28 +103,42 @@ def first_child(node, fanout: int = FANOUT):
     return node * fanout
 
 
-def search(points: DataFrame, rects: DataFrame, fanout: int = FANOUT, slices: int = 4096) -> DataFrame:
+#: Slots of rectangles up to this number are broadcast by a search.
+BROADCAST_SLOTS = 20_000
+
+
+def search(points: DataFrame, rects: DataFrame, fanout: int = FANOUT, slices: int = 4096, rows: int = 64) -> DataFrame:
     """QRY-1 to QRY-3, QRY-16: (rect, id) of points strictly inside; leaves that no rectangle overlaps are pruned.
 
-    rects: (rect, min_x, max_x, min_y, max_y). The extent of x is cut into ``slices`` equal slices; a leaf and a rectangle that
-    overlap share the slice where the later of their two left sides lies, so the join of their boxes has an equal key."""
+    rects: (rect, min_x, max_x, min_y, max_y). The extent of x is cut into ``slices`` equal slices at most and that of y into ``rows``,
+    as wide as the mean leaf and rectangle at least; a leaf and a rectangle that overlap share the slot where the later of their left
+    and of their lower sides lie, so the join of their boxes has an equal key. Leaves carry their points: what meets is not moved again."""
     p = materialise(assigned(points, fanout), "assigned")
-    boxes = materialise(p.groupBy("node").agg(F.min("x").alias("l"), F.max("x").alias("r"), F.min("y").alias("b"), F.max("y").alias("t")), "boxes")
-    ends = boxes.agg(F.min("l"), F.max("r")).first()
-    if ends[0] is None:
+    sides = [F.min("x").alias("l"), F.max("x").alias("r"), F.min("y").alias("b"), F.max("y").alias("t")]
+    boxes = materialise(p.groupBy("node").agg(*sides, F.collect_list(F.struct("x", "y", "id")).alias("held")).drop("node"), "boxes")
+    ends = boxes.agg(F.min("l"), F.max("r"), F.min("b"), F.max("t"), F.avg(F.col("r").cast("double") - F.col("l")), F.avg(F.col("t").cast("double") - F.col("b"))).first()
+    if any(x is None for x in ends):
         return rects.crossJoin(p.limit(0)).select("rect", "id")
     # Doubles may round either way, but equally on both sides; the exact test follows.
-    low, high = float(ends[0]), float(ends[1])
-    at = lambda x: F.floor((F.least(F.greatest(x.cast("double"), F.lit(low)), F.lit(high)) - low) / max((high - low) / slices, 1e-300))
-    spread = lambda d, a, b: d.withColumn("slice", F.explode(F.sequence(at(F.col(a)), at(F.col(b)))))
-    q = materialise(rects, "rects").filter((F.col("min_x").cast("double") <= high) & (F.col("max_x").cast("double") >= low) & (F.col("min_x") <= F.col("max_x")))
-    met = spread(boxes, "l", "r").join(small(spread(q, "min_x", "max_x")), "slice")
+    low, high, bottom, top = map(float, ends[:4])
+    inside = lambda c, a, b: F.least(F.greatest(c.cast("double"), F.lit(a)), F.lit(b))
+    q = materialise(rects, "rects").filter(
+        (F.col("min_x").cast("double") <= high) & (F.col("max_x").cast("double") >= low) & (F.col("min_x") <= F.col("max_x"))
+        & (F.col("min_y").cast("double") <= top) & (F.col("max_y").cast("double") >= bottom) & (F.col("min_y") <= F.col("max_y"))
+    )
+    mean = q.agg(F.avg(inside(F.col("max_x"), low, high) - inside(F.col("min_x"), low, high)), F.avg(inside(F.col("max_y"), bottom, top) - inside(F.col("min_y"), bottom, top))).first()
+    step = lambda a, b, most, *widths: max((b - a) / most, 1e-300, *[w for w in widths if w is not None])
+    wide, tall = step(low, high, slices, ends[4], mean[0]), step(bottom, top, rows, ends[5], mean[1])
+    at = lambda x: F.floor((inside(x, low, high) - low) / wide)
+    up = lambda y: F.floor((inside(y, bottom, top) - bottom) / tall)
+    spread = lambda d, l, r, b, t: d.withColumn("slice", F.explode(F.sequence(at(F.col(l)), at(F.col(r))))).withColumn("row", F.explode(F.sequence(up(F.col(b)), up(F.col(t)))))
+    met = spread(boxes, "l", "r", "b", "t").join(small(spread(q, "min_x", "max_x", "min_y", "max_y"), BROADCAST_SLOTS), ["slice", "row"])
     hit = met.filter(
         (F.col("l") <= F.col("max_x")) & (F.col("r") >= F.col("min_x")) & (F.col("b") <= F.col("max_y")) & (F.col("t") >= F.col("min_y"))
-        & (F.col("slice") == F.greatest(at(F.col("l")), at(F.col("min_x"))))
+        & (F.col("slice") == F.greatest(at(F.col("l")), at(F.col("min_x")))) & (F.col("row") == F.greatest(up(F.col("b")), up(F.col("min_y"))))
     )
-    found = p.join(hit.select("node", "rect", "min_x", "max_x", "min_y", "max_y"), "node")
-    return found.filter((F.col("x") > F.col("min_x")) & (F.col("x") < F.col("max_x")) & (F.col("y") > F.col("min_y")) & (F.col("y") < F.col("max_y"))).select("rect", "id")
+    within = lambda v: (v["x"] > F.col("min_x")) & (v["x"] < F.col("max_x")) & (v["y"] > F.col("min_y")) & (v["y"] < F.col("max_y"))
+    return hit.select("rect", F.explode(F.filter("held", within)).alias("v")).select("rect", "v.id")
 
 
 def cells_near(visits_: DataFrame, cells: DataFrame, after: int, before: int, reach: int) -> DataFrame:

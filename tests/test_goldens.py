@@ -169,6 +169,21 @@ def test_dbscan_pairs_places_not_points(spark, monkeypatch):
     assert seen["neighbors"].count() == 3
 
 
+def test_search_moves_no_hits(spark, monkeypatch):
+    """Rectangles of all sizes against a brute force, with and without a broadcast; leaves and points are not joined by node again."""
+    pts = spark.range(1500).select((F.col("id") * 7919 % 997).alias("x"), (F.col("id") * 104729 % 1009).alias("y"), "id")
+    rows = [(k, k * 31 % 900, k * 31 % 900 + 3 * k, k * 17 % 800, k * 17 % 800 + 5 * k) for k in range(120)] + [(200, -5, 5000, -5, 5000), (201, 9, 3, 0, 50), (202, 0, 50, 9, 3), (203, 2000, 3000, 0, 9)]
+    rects = spark.createDataFrame(rows, "rect int, min_x long, max_x long, min_y long, max_y long")
+    own = [tuple(r) for r in pts.collect()]
+    want = sorted((r[0], i) for r in rows for x, y, i in own if r[1] < x < r[2] and r[3] < y < r[4])
+    for most in (20_000, 0):
+        monkeypatch.setattr(index, "BROADCAST_SLOTS", most)
+        found = index.search(pts, rects)
+        assert sorted(tuple(r) for r in found.collect()) == want
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert index.search(pts.limit(0), rects).count() == 0 and index.search(pts, rects.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
